@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from valuegrain import schema as S
+from valuegrain.operators.order_stats import quantiles
 
 MAX_LEVELS = 1000
 SCALE_ACCURACY = 1000
+QUARTILES = [0.25, 0.5, 0.75]
 LABEL_TEXT = ("rfm_string", "rfm_segment")
 
 
@@ -57,30 +59,40 @@ class Encoder:
         dummies = [f"{c}_{v}" for c, values in self.levels.items() for v in values[1:]]
         return self.numeric + dummies
 
+    def columns(self, available: list[str]) -> list[str]:
+        """One unscaled SQL expression per feature, zero where its input is missing.
+
+        The first level of a text column is the base; an unseen level counts as it.
+        Hundreds of expressions build faster from text than from column objects.
+        """
+        present = set(available)
+        chosen = []
+        for c in self.numeric:
+            chosen.append(f"coalesce(cast(`{c}` as double), 0D)" if c in present else "0D")
+        for c, values in self.levels.items():
+            for value in values[1:]:
+                hit = f"CASE WHEN `{c}` = {_literal(value)} THEN 1D ELSE 0D END"
+                chosen.append(hit if c in present else "0D")
+        return chosen
+
     def encode(self, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-        """One column per feature. The first level is the base; an unseen one is too."""
-        dummies = {
-            f"{c}_{value}": F.when(F.col(c) == value, 1.0).otherwise(0.0)
-            for c, values in self.levels.items()
-            if c in df.columns
-            for value in values[1:]
-        }
-        return align(df.withColumns(dummies) if dummies else df, self.features, keep)
-
-    def scale(self, encoded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-        scaled = [
-            ((F.col(f"`{c}`") - F.lit(self.centers[c])) / F.lit(self.scales[c])).alias(c)
-            for c in self.features
-        ]
-        return encoded.select(*keep, *scaled)
+        named = zip(self.columns(df.columns), self.features)
+        return df.selectExpr(*keep, *[f"{sql} AS `{name}`" for sql, name in named])
 
     def vectors(self, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         """``keep`` columns and the scaled ``features`` vector."""
-        scaled = self.scale(self.encode(df, keep), keep)
-        names = {c: f"f{i}" for i, c in enumerate(self.features)}
-        plain = scaled.select(*keep, *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-        assembler = VectorAssembler(inputCols=list(names.values()), outputCol="features")
-        return assembler.transform(plain).select(*keep, "features")
+        scaled = [
+            f"({sql} - {self.centers[name]!r}D) / {self.scales[name]!r}D AS f{i}"
+            for i, (sql, name) in enumerate(zip(self.columns(df.columns), self.features))
+        ]
+        inputs = [f"f{i}" for i in range(len(scaled))]
+        assembler = VectorAssembler(inputCols=inputs, outputCol="features")
+        return assembler.transform(df.selectExpr(*keep, *scaled)).select(*keep, "features")
+
+
+def _literal(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
 def fit_encoder(
@@ -88,37 +100,55 @@ def fit_encoder(
     *,
     numeric: list[str] | None = None,
     categorical: list[str] | None = None,
+    exact_scales: bool = False,
 ) -> Encoder:
-    """Two scans: the levels of the text columns, then medians and quartile ranges.
+    """Two scans: level counts of the text columns, quartiles of the numeric ones.
 
-    A range of zero scales by one, so a rare flag keeps its meaning.
+    Quartiles of a 0/1 level column follow from its count; the others are sketched
+    unless ``exact_scales`` asks for exact interpolated ones of non-null columns. A
+    quartile range of zero scales by one, so a rare flag keeps its meaning.
     """
     numeric = numeric_features(df) if numeric is None else numeric
     if categorical is None:
         categorical = [c for c in S.string_columns(df.schema) if c not in S.NON_FEATURES]
-    encoder = Encoder(numeric, _levels(df, categorical))
-    encoded = encoder.encode(df)
-    aggregates = [
-        F.percentile_approx(F.col(f"`{c}`"), [0.25, 0.5, 0.75], SCALE_ACCURACY).alias(f"q{i}")
-        for i, c in enumerate(encoder.features)
-    ]
-    row = encoded.agg(*aggregates).first()
-    for i, c in enumerate(encoder.features):
-        low, middle, high = row[f"q{i}"]
-        encoder.centers[c] = float(middle)
-        encoder.scales[c] = float(high - low) or 1.0
+    counts = _level_counts(df, categorical)
+    encoder = Encoder(numeric, {c: sorted(found) for c, found in counts.items()})
+    row = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[
+            F.percentile_approx(
+                F.coalesce(F.col(c).cast("double"), F.lit(0.0)), QUARTILES, SCALE_ACCURACY
+            ).alias(f"q{i}")
+            for i, c in enumerate([] if exact_scales else numeric)
+        ],
+    ).first()
+    if exact_scales:
+        exact = quantiles(df, {c: QUARTILES for c in numeric})
+        quartiles = {c: [exact[c][q] for q in QUARTILES] for c in numeric}
+    else:
+        quartiles = {c: row[f"q{i}"] for i, c in enumerate(numeric)}
+    for c, values in encoder.levels.items():
+        for value in values[1:]:
+            zeros = row["rows"] - counts[c][value]
+            quartiles[f"{c}_{value}"] = [float(q * row["rows"] > zeros) for q in QUARTILES]
+    for name, (low, middle, high) in quartiles.items():
+        encoder.centers[name] = float(middle)
+        encoder.scales[name] = float(high - low) or 1.0
     return encoder
 
 
-def _levels(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+def _level_counts(df: DataFrame, columns: list[str]) -> dict[str, dict[str, int]]:
+    """Rows per level of each text column; refuses columns that are not categorical."""
     if not columns:
         return {}
     pairs = F.array(
         *[F.struct(F.lit(c).alias("name"), F.col(c).alias("level")) for c in columns]
     )
-    distinct = df.select(F.inline(pairs)).where(F.col("level").isNotNull()).distinct()
+    counted = (
+        df.select(F.inline(pairs)).where(F.col("level").isNotNull()).groupBy("name", "level")
+    ).count()
     limit = MAX_LEVELS * len(columns)
-    found = distinct.limit(limit + 1).collect()
+    found = counted.limit(limit + 1).collect()
     if len(found) > limit:
         raise ValueError(f"more than {limit} levels in {columns}: not categorical")
-    return {c: sorted(r["level"] for r in found if r["name"] == c) for c in columns}
+    return {c: {r["level"]: r["count"] for r in found if r["name"] == c} for c in columns}

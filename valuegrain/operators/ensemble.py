@@ -100,9 +100,7 @@ def _estimator(name: str, config: EnsembleConfig, ridge_penalty: float):
             elasticNetParam=0.0,
             regParam=ridge_penalty,
             standardization=False,
-            solver="l-bfgs",
-            maxIter=500,
-            tol=1e-9,
+            solver="normal",
         )
     raise ValueError(f"unknown member: {name}")
 
@@ -210,9 +208,10 @@ def fit_ensemble(vectors: DataFrame, features: list[str], config: EnsembleConfig
     """
     fitted_on = vectors.where(~F.col(HELD_OUT))
     moments = fitted_on.agg(
-        F.count(F.lit(1)).alias("rows"), F.stddev_samp(LABEL).alias("sd")
+        F.count(F.lit(1)).alias("rows"), F.stddev_pop(LABEL).alias("sd")
     ).first()
-    # The optimiser scales the label, so this penalty equals alpha on the sum of squares.
+    # The normal equations take one scan. They scale the label by its population
+    # deviation, so this penalty equals alpha on the plain sum of squares.
     penalty = config.ridge_alpha * (moments["sd"] or 0.0) / max(moments["rows"], 1)
     members = {}
     for name in config.members:

@@ -71,14 +71,14 @@ def segment_analysis(df: DataFrame) -> DataFrame:
     """The summary of each segment with a grand total row, in one aggregation."""
     label = _segment(df)
     value = value_column(df)
-    rolled = df.rollup(F.col(label).alias("segment")).agg(
-        F.grouping("segment").alias("is_total"),
+    rolled = df.rollup(label).agg(
+        F.grouping(label).alias("is_total"),
         F.count(F.lit(1)).alias("customers"),
         F.avg(value).alias("avg_predicted_clv"),
         F.sum(value).alias("total_predicted_value"),
     )
     return rolled.select(
-        F.when(F.col("is_total") == 1, "All").otherwise(F.col("segment")).alias("segment"),
+        F.when(F.col("is_total") == 1, "All").otherwise(F.col(label)).alias("segment"),
         "customers",
         "avg_predicted_clv",
         "total_predicted_value",

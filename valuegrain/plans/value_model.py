@@ -153,7 +153,8 @@ def train_value_model(
     cleaning = fit_cleaning(train)
     cleaned = keep(cleaning.apply(rows))
     plan = fit_features(cleaned.where(F.col("split") == TRAIN))
-    features = plan.transform(cleaned, FAMILIES)
+    # Read by the encoder twice and by the vectors, and the start of lean plans.
+    features = keep(plan.transform(cleaned, FAMILIES))
     known = features.where(F.col("split") == TRAIN)
     numeric = [c for c in script_features(features) if c != TARGET]
     text = categorical
@@ -169,8 +170,8 @@ def train_value_model(
     )
     vectors = keep(encoder.vectors(fitting, keep=(ID, LABEL, HELD_OUT)))
     ensemble = fit_ensemble(vectors, encoder.features, config)
-    vectors.unpersist()
-    cleaned.unpersist()
+    for frame in (vectors, features, cleaned):
+        frame.unpersist()
     return Training(ValueModel(cleaning, plan, encoder, ensemble), rows)
 
 

@@ -10,7 +10,12 @@ from pyspark.storagelevel import StorageLevel
 
 
 def local_session(app: str = "valuegrain", cores: int | str = "*") -> SparkSession:
-    """Small local session for tests and the benchmark; a cluster brings its own."""
+    """Small local session for tests and the benchmark; a cluster brings its own.
+
+    Call-site capture of the Python API is off: it makes every column expression many
+    times slower to build and wide feature tables have hundreds of them. Clusters are
+    well advised to set the same option.
+    """
     parallelism = "8" if cores == "*" else str(cores)
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -20,6 +25,8 @@ def local_session(app: str = "valuegrain", cores: int | str = "*") -> SparkSessi
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 

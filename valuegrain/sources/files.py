@@ -12,7 +12,7 @@ from valuegrain.schema import CUSTOMER_SCHEMA
 def read_customers_csv(spark: SparkSession, path: str) -> DataFrame:
     """Customer CSV with a header, types declared, dates parsed, categories decoded.
 
-    The text "None" stays a campaign name; only an empty field is null. Columns the
+    Quotes inside a field are doubled. The text "None" stays a campaign name; only an empty field is null. Columns the
     file lacks are left out, so dependent features are skipped.
     """
     header = spark.read.option("header", True).csv(path).columns
@@ -70,7 +70,7 @@ def write_features_csv(df: DataFrame, path: str) -> None:
         f.name: F.to_json(f.name) for f in df.schema if isinstance(f.dataType, T.ArrayType)
     }
     flat = df.withColumns(lists) if lists else df
-    flat.write.mode("overwrite").option("header", True).csv(path)
+    flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
