@@ -5,7 +5,8 @@ billions of distinct amounts. Here each wanted rank is bracketed with a bounded
 sample, the rows below and inside the bracket are counted in one scan, and the
 bracket shrinks until it is small enough to be gathered whole. Rows are never
 shuffled, and ties are broken by the row id, so a value shared by a third of all
-rows is bracketed like any other.
+rows is bracketed like any other. The samples only decide how fast it converges;
+the result is exact whatever they hold.
 """
 
 from __future__ import annotations
@@ -20,27 +21,37 @@ from pyspark.sql import functions as F
 from valuegrain.schema import ID
 
 SAMPLE_ROWS = 20_000
-_HASH_RANGE = 1 << 40
+_ROW_ID, _DRAW = "row:id", "row:draw"
+MAX_ROUNDS = 60
 
 Key = tuple
 
 
 @dataclass(frozen=True)
 class _Bracket:
-    """Keys in ``[low, high)``; None leaves a side open."""
+    """Keys from ``low`` (left out if ``open_low``) up to but not including ``high``.
+
+    None leaves a side open. ``outer`` is the enclosing range as (low, open_low, rows
+    before it, high, rows up to its end), where the search goes on after a miss.
+    """
 
     column: str
     ranks: tuple[int, ...]
     low: Key | None
+    open_low: bool
     high: Key | None
     expected: float
+    outer: tuple
 
 
-def _before(column: str, id_column: str, key: Key) -> Column:
-    value, row_id = key
-    return (F.col(column) < F.lit(value)) | (
-        (F.col(column) == F.lit(value)) & (F.col(id_column) < F.lit(row_id))
-    )
+@dataclass(frozen=True)
+class _Counts:
+    """What one scan saw of a bracket: rows before it, inside, and at its ends."""
+
+    below: int
+    inside: int
+    at_low: int
+    at_high: int
 
 
 def order_statistics(
@@ -53,62 +64,73 @@ def order_statistics(
 ) -> dict[str, dict[int, Key]]:
     """``(value, id)`` at each zero-based rank of each column, nulls left out.
 
-    ``sizes`` holds the non-null row count per column. Ids must be unique.
+    ``sizes`` holds the non-null row count per column. Copies of a row share a key
+    and simply fill neighbouring ranks.
     """
     found: dict[str, dict[int, Key]] = {c: {} for c in ranks}
-    spans: dict[_Bracket, tuple[Key | None, int, Key | None, int]] = {}
     pending = []
     for column, wanted in ranks.items():
         size = sizes[column]
         inside = tuple(sorted({r for r in wanted if 0 <= r < size}))
         if inside:
-            bracket = _Bracket(column, inside, None, None, size)
-            spans[bracket] = (None, 0, None, size)
-            pending.append(bracket)
-
-    rounds = 0
-    while pending:
-        rounds += 1
-        if rounds > 60:
-            raise ValueError(f"{id_column} must be unique to rank rows")
-        answers = _scan(df, pending, id_column, sample_rows, rounds)
-        following = []
-        for bracket, answer in zip(pending, answers):
-            outer = spans[bracket]
-            for rank, low, high, hit in answer.picks:
+            whole = (None, False, 0, None, size)
+            pending.append(_Bracket(column, inside, None, False, None, size, whole))
+    row_id = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
+    keyed = df.select(*ranks, row_id.alias(_ROW_ID))
+
+    for round_number in range(MAX_ROUNDS):
+        if not pending:
+            return found
+        following: dict[_Bracket, None] = {}
+        for bracket, counts, picks in _scan(keyed, pending, sample_rows, round_number):
+            for rank, low, high, hit in picks:
+                end = counts.below + counts.inside
+                if hit is None and end <= rank < end + counts.at_high:
+                    hit = bracket.high
+                elif hit is None and counts.below <= rank < counts.below + counts.at_low:
+                    hit = bracket.low
                 if hit is not None:
                     found[bracket.column][rank] = hit
-                    continue
-                child, span = _narrow(bracket, answer, outer, rank, low, high, sample_rows / 2)
-                spans[child] = span
-                following.append(child)
-        pending = list(dict.fromkeys(following))
-    return found
-
-
-@dataclass(frozen=True)
-class _Answer:
-    below: int
-    inside: int
-    picks: list[tuple[int, Key | None, Key | None, Key | None]]
-
-
-def _narrow(bracket, answer, outer, rank, low, high, drawn):
-    """Next bracket for a rank: the sampled part of this one, or the side it fell on."""
-    outer_low, outer_below, outer_high, outer_end = outer
-    end = answer.below + answer.inside
-    if rank < answer.below:
-        span = (outer_low, outer_below, bracket.low, answer.below)
+                else:
+                    drawn = sample_rows / 2
+                    following[_narrow(bracket, counts, rank, low, high, drawn)] = None
+        pending = list(following)
+    raise RuntimeError(f"no convergence on {[b.column for b in pending]}")
+
+
+def _narrow(
+    bracket: _Bracket,
+    counts: _Counts,
+    rank: int,
+    low: Key | None,
+    high: Key | None,
+    drawn: float,
+) -> _Bracket:
+    """Next bracket for a rank: a sampled part of this one, or the side it fell on."""
+    outer_low, outer_open, before, outer_high, outer_end = bracket.outer
+    end = counts.below + counts.inside
+    if rank < counts.below:
+        outer = (outer_low, outer_open, before, bracket.low, counts.below)
     elif rank >= end:
-        span = (bracket.high, end, outer_high, outer_end)
+        passed = end + counts.at_high
+        outer = (bracket.high, True, passed, outer_high, outer_end)
     else:
-        span = (bracket.low, answer.below, bracket.high, end)
-        low = bracket.low if low is None else low
-        high = bracket.high if high is None else high
-        share = (rank - answer.below) / answer.inside
+        outer = (bracket.low, bracket.open_low, counts.below, bracket.high, end)
+        share = (rank - counts.below) / counts.inside
         part = min(2 * _half_width(share, drawn) / drawn, 1.0)
-        return _Bracket(bracket.column, (rank,), low, high, answer.inside * part), span
-    return _Bracket(bracket.column, (rank,), span[0], span[2], span[3] - span[1]), span
+        # The rank is not at the low end, so copies there need no further search.
+        stays = low is None or low == bracket.low
+        return _Bracket(
+            bracket.column,
+            (rank,),
+            bracket.low if stays else low,
+            stays and bracket.low is not None,
+            bracket.high if high is None else high,
+            counts.inside * part,
+            outer,
+        )
+    start, open_low, before, stop, end = outer
+    return _Bracket(bracket.column, (rank,), start, open_low, stop, end - before, outer)
 
 
 def _half_width(share: float, drawn: float) -> float:
@@ -116,58 +138,72 @@ def _half_width(share: float, drawn: float) -> float:
     return 4.0 * math.sqrt(max(drawn * share * (1 - share), 1.0)) + 2.0
 
 
-def _scan(df, brackets, id_column, sample_rows, seed) -> list[_Answer]:
-    """One pass over ``df``: counts and sampled cut keys of every bracket."""
-    aggregates, outputs, complete = [], [], []
+def _before(column: str, key: Key, inclusive: bool = False) -> Column:
+    value, row_id = F.lit(key[0]), F.lit(key[1])
+    same = F.col(_ROW_ID) <= row_id if inclusive else F.col(_ROW_ID) < row_id
+    return (F.col(column) < value) | ((F.col(column) == value) & same)
+
+
+def _equals(column: str, key: Key) -> Column:
+    return (F.col(column) == F.lit(key[0])) & (F.col(_ROW_ID) == F.lit(key[1]))
+
+
+def _scan(keyed: DataFrame, brackets: list[_Bracket], sample_rows: int, seed: int):
+    """One pass: counts and sampled cut keys of every bracket.
+
+    Only single keys reach the driver; the sample is sorted and read where it was
+    gathered. A bracket that should hold at most ``sample_rows`` rows is gathered
+    whole, a larger one is sampled at random to half that number.
+    """
+    drawn_from = keyed.withColumn(_DRAW, F.rand(seed))
+    aggregates, outputs = [], []
+    whole = [b.expected <= sample_rows for b in brackets]
     for i, b in enumerate(brackets):
-        present = F.col(b.column).isNotNull()
-        below = F.lit(False) if b.low is None else _before(b.column, id_column, b.low)
-        inside = present & ~below
+        below = F.lit(False) if b.low is None else _before(b.column, b.low, b.open_low)
+        inside = F.col(b.column).isNotNull() & ~below
+        fresh_low = b.low is not None and not b.open_low
+        at_low = _equals(b.column, b.low) if fresh_low else F.lit(False)
+        at_high = F.lit(False)
         if b.high is not None:
-            inside = inside & _before(b.column, id_column, b.high)
-        whole = b.expected <= sample_rows
-        complete.append(whole)
-        taken = inside
-        if not whole:
-            threshold = int(_HASH_RANGE * (sample_rows / 2) / b.expected)
-            draw = F.pmod(F.xxhash64(F.col(id_column), F.lit(seed)), F.lit(_HASH_RANGE))
-            taken = inside & (draw < F.lit(threshold))
-        key = F.struct(F.col(b.column).alias("value"), F.col(id_column).alias("id"))
+            inside = inside & _before(b.column, b.high)
+            at_high = _equals(b.column, b.high)
+        share = 1.0 if whole[i] else sample_rows / 2 / b.expected
+        taken = inside if whole[i] else inside & (F.col(_DRAW) < share)
+        key = F.struct(F.col(b.column).alias("value"), F.col(_ROW_ID).alias("id"))
         aggregates += [
             F.count_if(below).alias(f"below_{i}"),
             F.count_if(inside).alias(f"inside_{i}"),
+            F.count_if(at_low).alias(f"low_{i}"),
+            F.count_if(at_high).alias(f"high_{i}"),
             F.sort_array(F.collect_list(F.when(taken, key))).alias(f"keys_{i}"),
         ]
-    gathered = df.agg(*aggregates)
-    for i, b in enumerate(brackets):
-        outputs += [F.col(f"below_{i}"), F.col(f"inside_{i}")]
+        outputs += [F.col(f"{n}_{i}") for n in ("below", "inside", "low", "high")]
         keys, offset = F.col(f"keys_{i}"), F.col(f"below_{i}")
-        drawn = F.size(keys)
         for rank in b.ranks:
             place = F.lit(rank) - offset
-            if complete[i]:
+            if whole[i]:
                 wanted = [_at(keys, place)]
             else:
-                share = F.try_divide(place.cast("double"), F.col(f"inside_{i}"))
-                share = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
-                spread = 4.0 * F.sqrt(F.greatest(drawn * share * (1 - share), F.lit(1.0))) + 2.0
-                middle = drawn * share
+                part = F.try_divide(place.cast("double"), F.col(f"inside_{i}"))
+                part = F.least(F.greatest(part, F.lit(0.0)), F.lit(1.0))
+                drawn = F.size(keys)
+                spread = 4.0 * F.sqrt(F.greatest(drawn * part * (1 - part), F.lit(1.0))) + 2.0
+                middle = drawn * part
                 wanted = [_at(keys, F.floor(middle - spread)), _at(keys, F.ceil(middle + spread))]
             for side, column in enumerate(wanted):
                 outputs.append(column.alias(f"pick_{i}_{rank}_{side}"))
-    row = gathered.select(*outputs).first()
+    row = drawn_from.agg(*aggregates).select(*outputs).first()
 
-    answers = []
     for i, b in enumerate(brackets):
+        counts = _Counts(*[row[f"{n}_{i}"] for n in ("below", "inside", "low", "high")])
         picks = []
         for rank in b.ranks:
-            if complete[i]:
-                picks.append((rank, None, None, _key(row[f"pick_{i}_{rank}_0"])))
+            low = _key(row[f"pick_{i}_{rank}_0"])
+            if whole[i]:
+                picks.append((rank, None, None, low))
             else:
-                low, high = row[f"pick_{i}_{rank}_0"], row[f"pick_{i}_{rank}_1"]
-                picks.append((rank, _key(low), _key(high), None))
-        answers.append(_Answer(row[f"below_{i}"], row[f"inside_{i}"], picks))
-    return answers
+                picks.append((rank, low, _key(row[f"pick_{i}_{rank}_1"]), None))
+        yield b, counts, picks
 
 
 def _at(keys: Column, place: Column) -> Column:
