@@ -28,8 +28,8 @@ def behavior_columns(available: Iterable[str], profile: Profile) -> list[dict[st
         F.col("email_engagement_rate"),
         F.col("return_rate"),
     )
-    months = F.greatest(first / DAYS_PER_MONTH, F.lit(0.5))
-    weeks = F.greatest(first / 7, F.lit(1.0))
+    months = _at_least(first / DAYS_PER_MONTH, 0.5)
+    weeks = _at_least(first / 7, 1.0)
 
     if {"total_orders", "days_since_first_purchase"} <= available:
         out["purchase_velocity"] = orders / months
@@ -88,5 +88,10 @@ def behavior_columns(available: Iterable[str], profile: Profile) -> list[dict[st
     return [out, derived]
 
 
+def _at_least(column: Column, low: float) -> Column:
+    """Lower bound that keeps nulls, which ``greatest`` would replace."""
+    return F.when(column < low, F.lit(low)).otherwise(column)
+
+
 def _at_most_one(column: Column) -> Column:
     return F.when(column > 1, 1.0).otherwise(column)
