@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from valuegrain.schema import ID
 
 SAMPLE_ROWS = 20_000
+# Below this a bracket of eight standard deviations may fail to shrink.
+MIN_SAMPLE_ROWS = 200
 _ROW_ID, _DRAW = "row:id", "row:draw"
 MAX_ROUNDS = 60
 
@@ -67,6 +69,7 @@ def order_statistics(
     ``sizes`` holds the non-null row count per column. Copies of a row share a key
     and simply fill neighbouring ranks.
     """
+    sample_rows = max(sample_rows, MIN_SAMPLE_ROWS)
     found: dict[str, dict[int, Key]] = {c: {} for c in ranks}
     pending = []
     for column, wanted in ranks.items():
