@@ -15,7 +15,7 @@ from valuegrain.plans.value_model import (
     evaluate_value_model,
     train_value_model,
 )
-from valuegrain.session import keep
+from valuegrain.session import keep, prepare_session
 from valuegrain.sources.files import (
     read_customers,
     read_customers_csv,
@@ -31,7 +31,7 @@ def load_customers(spark: SparkSession, path: str) -> DataFrame:
 
 def feature_job(spark: SparkSession, source: str, target: str) -> None:
     """Clean a customer table, derive every feature and store them with the profile."""
-    customers = keep(load_customers(spark, source))
+    customers = keep(load_customers(prepare_session(spark), source))
     cleaned = keep(fit_cleaning(customers).apply(customers))
     plan = fit_features(cleaned)
     write_table(plan.transform(cleaned, exact_ranks=True), f"{target}/features")
@@ -50,7 +50,8 @@ def training_job(
     **options,
 ) -> Training:
     """Train, then store the model, its test rows, metrics and feature importance."""
-    training = train_value_model(load_customers(spark, source), config, split=split, **options)
+    customers = load_customers(prepare_session(spark), source)
+    training = train_value_model(customers, config, split=split, **options)
     training.model.save(spark, f"{target}/model")
     write_table(training.part(TEST), f"{target}/test")
     write_report(training.metrics(TEST), f"{target}/metrics")
@@ -68,7 +69,8 @@ def evaluation_job(spark: SparkSession, model: str, labelled: str, target: str)
 
 def scoring_job(spark: SparkSession, model: str, source: str, target: str) -> None:
     """Score a customer table and store it by segment, ready for pruned reads."""
-    scored = ValueModel.load(spark, model).score(load_customers(spark, source))
+    customers = load_customers(prepare_session(spark), source)
+    scored = ValueModel.load(spark, model).score(customers)
     write_table(scored, target, partition_by="predicted_segment")
 
 

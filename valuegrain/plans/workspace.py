@@ -13,7 +13,7 @@ from valuegrain.operators.ensemble import EnsembleConfig, small_config
 from valuegrain.operators.segments import score_columns
 from valuegrain.plans.features import FeaturePlan, fit_features
 from valuegrain.plans.value_model import Training, train_value_model
-from valuegrain.session import keep
+from valuegrain.session import keep, prepare_session
 from valuegrain.sources.facts import build_customers, read_facts
 
 TRAINING_CUTOFF = "2000-01-01"
@@ -41,7 +41,7 @@ class Workspace:
     """Builds each table once and keeps the ones that several queries read."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = spark
+        self.spark = prepare_session(spark)
         self.folder = folder
 
     @cached_property

@@ -52,21 +52,25 @@ def build_customers(
     Aggregations combine before they shuffle; joins carry no broadcast hints, so
     the size checks and the skew handling of adaptive execution decide.
     """
+    # The window tests the stored column, so it reaches the scan as a pushed filter.
+    ordered = facts["orders"]["o_orderdate"]
+    in_window = F.lit(True)
+    if cutoff is not None:
+        stored_type = facts["orders"].schema["o_orderdate"].dataType
+        in_window = ordered < F.lit(cutoff).cast(stored_type)
     orders = facts["orders"].select(
         "o_orderkey",
         "o_custkey",
         "o_orderpriority",
         F.to_date("o_orderdate").alias("day"),
+        in_window.alias("in_window"),
         F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"),
     )
+    observed = orders if cutoff is None else orders.where("in_window")
     if cutoff is None:
-        observed, in_window = orders, F.lit(True)
-        snapshot = (
-            facts["orders"].select(F.to_date(F.max("o_orderdate")).alias("day")).scalar()
-        )
+        newest = facts["orders"].select(F.to_date(F.max("o_orderdate")).alias("day"))
+        snapshot = newest.scalar()
     else:
-        in_window = F.col("day") < F.lit(cutoff).cast("date")
-        observed = orders.where(in_window)
         snapshot = F.lit(cutoff).cast("date")
 
     # A target spans the whole history, so its window is applied inside the aggregate.
@@ -74,7 +78,7 @@ def build_customers(
     source = orders if spans_history else observed
 
     def windowed(column: Column) -> Column:
-        return F.when(in_window, column) if spans_history else column
+        return F.when(F.col("in_window"), column) if spans_history else column
 
     first_order = F.min(windowed(F.struct("day", "o_orderkey", "o_orderpriority")))
     order_facts = source.groupBy("o_custkey").agg(
