@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from valuegrain.operators.customers import segment_column
 from valuegrain.operators.segments import every_segment
 from valuegrain.schema import GROWTH, HIGH, LOW, MAX_BUDGET
+from valuegrain.session import constant_table
 
 TARGET_RATIO, CEILING_RATIO, FLOOR_RATIO = 0.30, 0.40, 0.15
 
@@ -89,13 +90,9 @@ CAMPAIGNS = [
 ]
 
 
-def _names(fields: str) -> str:
-    return ", ".join(f"{name} string" for name in fields.split())
-
-
 def targeting_table(spark: SparkSession) -> DataFrame:
     fields = "segment targeting_priority lookalike_recommendation bidding_strategy"
-    return spark.createDataFrame(TARGETING, _names(fields))
+    return constant_table(spark, TARGETING, fields)
 
 
 def campaign_table(spark: SparkSession) -> DataFrame:
@@ -103,7 +100,7 @@ def campaign_table(spark: SparkSession) -> DataFrame:
         "segment campaign_objective optimization_event bidding_strategy budget_type "
         "ad_format messaging retargeting_window frequency_cap"
     )
-    return spark.createDataFrame(CAMPAIGNS, _names(fields))
+    return constant_table(spark, CAMPAIGNS, fields)
 
 
 def audiences(df: DataFrame) -> DataFrame:

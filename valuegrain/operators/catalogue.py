@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from valuegrain.session import constant_table
+
 # Registered feature names by category.
 CATALOGUE = {
     "rfm": (
@@ -51,7 +53,7 @@ def feature_catalogue(spark: SparkSession, columns: list[str] | None = None) ->
         for name in names
         if columns is None or name in columns
     ]
-    return spark.createDataFrame(rows, "feature string, category string")
+    return constant_table(spark, rows, "feature category")
 
 
 def feature_names(category: str | None = None) -> list[str]:

@@ -17,6 +17,8 @@ from pyspark.ml.regression import (
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from valuegrain.session import constant_table
+
 MAE_FLOOR = 1e-6
 LABEL, HELD_OUT = "label", "held_out"
 LINEAR = "ridge"
@@ -177,7 +179,7 @@ class Ensemble:
                 totals[place] += share * float(value)
         ordered = sorted(zip(self.features, totals), key=lambda entry: (-entry[1], entry[0]))
         rows = [(name, value, place) for place, (name, value) in enumerate(ordered, start=1)]
-        return spark.createDataFrame(rows, "feature string, importance double, rank int")
+        return constant_table(spark, rows, "feature importance rank")
 
     def save(self, spark: SparkSession, path: str) -> None:
         for name, model in self.members.items():
@@ -187,7 +189,7 @@ class Ensemble:
             "weights": self.weights,
             "features": self.features,
         }
-        frame = spark.createDataFrame([(json.dumps(state),)], "state string")
+        frame = constant_table(spark, [(json.dumps(state),)], "state")
         frame.write.mode("overwrite").parquet(f"{path}/state")
 
     @staticmethod

@@ -2,8 +2,8 @@
 
 ``percentile`` keeps every distinct value in one task, which does not hold for
 billions of distinct amounts. Here each wanted rank is bracketed with a bounded
-sample, the rows below and inside the bracket are counted in one scan, and the
-bracket shrinks until it is small enough to be gathered whole. Rows are never
+sample, the rows below and inside the bracket are counted in one scan of the rows
+still in question, and the bracket shrinks until it is small enough to be gathered whole. Rows are never
 shuffled, and ties are broken by the row id, so a value shared by a third of all
 rows is bracketed like any other. The samples only decide how fast it converges;
 the result is exact whatever they hold.
@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -30,30 +31,44 @@ Key = tuple
 
 
 @dataclass(frozen=True)
-class _Bracket:
+class _Range:
     """Keys from ``low`` (left out if ``open_low``) up to but not including ``high``.
 
-    None leaves a side open. ``outer`` is the enclosing range as (low, open_low, rows
-    before it, high, rows up to its end), where the search goes on after a miss.
+    None leaves a side open. ``before`` and ``end`` are the exact row counts before
+    the range and up to its end.
     """
 
+    low: Key | None
+    open_low: bool
+    high: Key | None
+    before: int
+    end: int
+
+
+@dataclass(frozen=True)
+class _Bracket:
+    """A guess within a known range that should hold the row of each rank."""
+
     column: str
     ranks: tuple[int, ...]
+    known: _Range
     low: Key | None
     open_low: bool
     high: Key | None
     expected: float
-    outer: tuple
 
 
 @dataclass(frozen=True)
-class _Counts:
-    """What one scan saw of a bracket: rows before it, inside, and at its ends."""
+class _Seen:
+    """What one scan found out about a bracket."""
 
     below: int
     inside: int
     at_low: int
     at_high: int
+    drawn: int
+    picks: dict[int, tuple[Key | None, Key | None]]
+    whole: bool
 
 
 def order_statistics(
@@ -76,69 +91,70 @@ def order_statistics(
         size = sizes[column]
         inside = tuple(sorted({r for r in wanted if 0 <= r < size}))
         if inside:
-            whole = (None, False, 0, None, size)
-            pending.append(_Bracket(column, inside, None, False, None, size, whole))
+            known = _Range(None, False, None, 0, size)
+            pending.append(_Bracket(column, inside, known, None, False, None, size))
     row_id = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
     keyed = df.select(*ranks, row_id.alias(_ROW_ID))
 
     for round_number in range(MAX_ROUNDS):
         if not pending:
             return found
+        scan = _first_scan if round_number == 0 else _scan
         following: dict[_Bracket, None] = {}
-        for bracket, counts, picks in _scan(keyed, pending, sample_rows, round_number):
-            for rank, low, high, hit in picks:
-                end = counts.below + counts.inside
-                if hit is None and end <= rank < end + counts.at_high:
-                    hit = bracket.high
-                elif hit is None and counts.below <= rank < counts.below + counts.at_low:
-                    hit = bracket.low
+        for bracket, seen in scan(keyed, pending, sample_rows, round_number):
+            for rank in bracket.ranks:
+                hit = _hit(bracket, seen, rank)
                 if hit is not None:
                     found[bracket.column][rank] = hit
                 else:
-                    drawn = sample_rows / 2
-                    following[_narrow(bracket, counts, rank, low, high, drawn)] = None
+                    following[_narrow(bracket, seen, rank)] = None
         pending = list(following)
     raise RuntimeError(f"no convergence on {[b.column for b in pending]}")
 
 
-def _narrow(
-    bracket: _Bracket,
-    counts: _Counts,
-    rank: int,
-    low: Key | None,
-    high: Key | None,
-    drawn: float,
-) -> _Bracket:
-    """Next bracket for a rank: a sampled part of this one, or the side it fell on."""
-    outer_low, outer_open, before, outer_high, outer_end = bracket.outer
-    end = counts.below + counts.inside
-    if rank < counts.below:
-        outer = (outer_low, outer_open, before, bracket.low, counts.below)
+def _hit(bracket: _Bracket, seen: _Seen, rank: int) -> Key | None:
+    end = seen.below + seen.inside
+    if end <= rank < end + seen.at_high:
+        return bracket.high
+    if seen.below <= rank < seen.below + seen.at_low:
+        return bracket.low
+    return seen.picks[rank][0] if seen.whole else None
+
+
+def _narrow(bracket: _Bracket, seen: _Seen, rank: int) -> _Bracket:
+    """Next bracket for a rank: the sampled part of this one, or the side it fell on."""
+    known, end = bracket.known, seen.below + seen.inside
+    if rank < seen.below:
+        known = _Range(known.low, known.open_low, bracket.low, known.before, seen.below)
     elif rank >= end:
-        passed = end + counts.at_high
-        outer = (bracket.high, True, passed, outer_high, outer_end)
+        known = _Range(bracket.high, True, known.high, end + seen.at_high, known.end)
     else:
-        outer = (bracket.low, bracket.open_low, counts.below, bracket.high, end)
-        share = (rank - counts.below) / counts.inside
-        part = min(2 * _half_width(share, drawn) / drawn, 1.0)
+        known = _Range(bracket.low, bracket.open_low, bracket.high, seen.below, end)
+        low, high = seen.picks[rank]
         # The rank is not at the low end, so copies there need no further search.
         stays = low is None or low == bracket.low
+        start, stop = _sample_span(rank - seen.below, seen.inside, seen.drawn)
+        part = (stop - start) / seen.drawn if seen.drawn else 1.0
         return _Bracket(
             bracket.column,
             (rank,),
+            known,
             bracket.low if stays else low,
             stays and bracket.low is not None,
             bracket.high if high is None else high,
-            counts.inside * part,
-            outer,
+            seen.inside * part,
         )
-    start, open_low, before, stop, end = outer
-    return _Bracket(bracket.column, (rank,), start, open_low, stop, end - before, outer)
+    rows = known.end - known.before
+    return _Bracket(
+        bracket.column, (rank,), known, known.low, known.open_low, known.high, rows
+    )
 
 
-def _half_width(share: float, drawn: float) -> float:
-    """Four standard deviations of a sampled rank, in sample positions."""
-    return 4.0 * math.sqrt(max(drawn * share * (1 - share), 1.0)) + 2.0
+def _sample_span(position: int, inside: int, drawn: int) -> tuple[float, float]:
+    """Sample positions four standard deviations around a rank, cut to the sample."""
+    share = position / inside
+    spread = 4.0 * math.sqrt(max(drawn * share * (1 - share), 1.0)) + 2.0
+    return max(drawn * share - spread, 0.0), min(drawn * share + spread, float(drawn))
 
 
 def _before(column: str, key: Key, inclusive: bool = False) -> Column:
@@ -151,62 +167,103 @@ def _equals(column: str, key: Key) -> Column:
     return (F.col(column) == F.lit(key[0])) & (F.col(_ROW_ID) == F.lit(key[1]))
 
 
+def _within(column: str, low: Key | None, open_low: bool, high: Key | None) -> Column:
+    inside = F.col(column).isNotNull()
+    if low is not None:
+        inside = inside & ~_before(column, low, open_low)
+    return inside & _before(column, high) if high is not None else inside
+
+
+def _first_scan(keyed: DataFrame, brackets: list[_Bracket], sample_rows: int, seed: int):
+    """Sample the whole table once for all columns; the counts are known already."""
+    share = sample_rows / 2 / max(b.expected for b in brackets)
+    whole = all(b.expected <= sample_rows for b in brackets)
+    rows = keyed if whole else keyed.where(F.rand(seed) < share)
+    gathered = rows.agg(*[_gather(b, i) for i, b in enumerate(brackets)])
+    outputs = []
+    for i, b in enumerate(brackets):
+        below, inside = F.lit(0), F.lit(b.known.end)
+        outputs += _pick_columns(b, i, whole, below, inside)
+    row = gathered.select(*outputs).first()
+    for i, b in enumerate(brackets):
+        drawn, picks = _read_picks(row, b, i, whole)
+        yield b, _Seen(0, b.known.end, 0, 0, drawn, picks, whole)
+
+
 def _scan(keyed: DataFrame, brackets: list[_Bracket], sample_rows: int, seed: int):
-    """One pass: counts and sampled cut keys of every bracket.
+    """One pass over the rows of the known ranges: counts and sampled cut keys.
 
-    Only single keys reach the driver; the sample is sorted and read where it was
+    Only single keys reach the driver; each sample is sorted and read where it was
     gathered. A bracket that should hold at most ``sample_rows`` rows is gathered
     whole, a larger one is sampled at random to half that number.
     """
-    drawn_from = keyed.withColumn(_DRAW, F.rand(seed))
-    aggregates, outputs = [], []
+    ranges = {(b.column, b.known): None for b in brackets}
+    searched = reduce(
+        Column.__or__, [_within(c, k.low, k.open_low, k.high) for c, k in ranges]
+    )
+    rows = keyed.where(searched).withColumn(_DRAW, F.rand(seed))
     whole = [b.expected <= sample_rows for b in brackets]
+    aggregates, outputs = [], []
     for i, b in enumerate(brackets):
-        below = F.lit(False) if b.low is None else _before(b.column, b.low, b.open_low)
-        inside = F.col(b.column).isNotNull() & ~below
+        known = _within(b.column, b.known.low, b.known.open_low, b.known.high)
+        inside = known & _within(b.column, b.low, b.open_low, b.high)
+        below = F.lit(False)
+        if b.low is not None:
+            below = known & _before(b.column, b.low, b.open_low)
         fresh_low = b.low is not None and not b.open_low
         at_low = _equals(b.column, b.low) if fresh_low else F.lit(False)
-        at_high = F.lit(False)
-        if b.high is not None:
-            inside = inside & _before(b.column, b.high)
-            at_high = _equals(b.column, b.high)
-        share = 1.0 if whole[i] else sample_rows / 2 / b.expected
-        taken = inside if whole[i] else inside & (F.col(_DRAW) < share)
-        key = F.struct(F.col(b.column).alias("value"), F.col(_ROW_ID).alias("id"))
+        at_high = _equals(b.column, b.high) if b.high is not None else F.lit(False)
+        taken = inside
+        if not whole[i]:
+            taken = inside & (F.col(_DRAW) < sample_rows / 2 / b.expected)
         aggregates += [
-            F.count_if(below).alias(f"below_{i}"),
+            (F.count_if(below) + b.known.before).alias(f"below_{i}"),
             F.count_if(inside).alias(f"inside_{i}"),
             F.count_if(at_low).alias(f"low_{i}"),
-            F.count_if(at_high).alias(f"high_{i}"),
-            F.sort_array(F.collect_list(F.when(taken, key))).alias(f"keys_{i}"),
+            # Beyond the known range copies of the end key do not count.
+            F.count_if(at_high if b.high != b.known.high else F.lit(False)).alias(f"high_{i}"),
+            _gather(b, i, taken),
         ]
         outputs += [F.col(f"{n}_{i}") for n in ("below", "inside", "low", "high")]
-        keys, offset = F.col(f"keys_{i}"), F.col(f"below_{i}")
-        for rank in b.ranks:
-            place = F.lit(rank) - offset
-            if whole[i]:
-                wanted = [_at(keys, place)]
-            else:
-                part = F.try_divide(place.cast("double"), F.col(f"inside_{i}"))
-                part = F.least(F.greatest(part, F.lit(0.0)), F.lit(1.0))
-                drawn = F.size(keys)
-                spread = 4.0 * F.sqrt(F.greatest(drawn * part * (1 - part), F.lit(1.0))) + 2.0
-                middle = drawn * part
-                wanted = [_at(keys, F.floor(middle - spread)), _at(keys, F.ceil(middle + spread))]
-            for side, column in enumerate(wanted):
-                outputs.append(column.alias(f"pick_{i}_{rank}_{side}"))
-    row = drawn_from.agg(*aggregates).select(*outputs).first()
-
+        outputs += _pick_columns(b, i, whole[i], F.col(f"below_{i}"), F.col(f"inside_{i}"))
+    row = rows.agg(*aggregates).select(*outputs).first()
     for i, b in enumerate(brackets):
-        counts = _Counts(*[row[f"{n}_{i}"] for n in ("below", "inside", "low", "high")])
-        picks = []
-        for rank in b.ranks:
-            low = _key(row[f"pick_{i}_{rank}_0"])
-            if whole[i]:
-                picks.append((rank, None, None, low))
-            else:
-                picks.append((rank, low, _key(row[f"pick_{i}_{rank}_1"]), None))
-        yield b, counts, picks
+        counts = [row[f"{n}_{i}"] for n in ("below", "inside", "low", "high")]
+        yield b, _Seen(*counts, *_read_picks(row, b, i, whole[i]), whole[i])
+
+
+def _gather(bracket: _Bracket, i: int, taken: Column | None = None) -> Column:
+    """The sorted keys of the taken rows."""
+    value = F.col(bracket.column)
+    key = F.struct(value.alias("value"), F.col(_ROW_ID).alias("id"))
+    taken = value.isNotNull() if taken is None else taken
+    return F.sort_array(F.collect_list(F.when(taken, key))).alias(f"keys_{i}")
+
+
+def _pick_columns(b: _Bracket, i: int, whole: bool, below: Column, inside: Column):
+    """The keys at or around each rank, by the rules of ``_sample_span``."""
+    keys = F.col(f"keys_{i}")
+    drawn = F.size(keys)
+    columns = [drawn.alias(f"drawn_{i}")]
+    for rank in b.ranks:
+        place = F.lit(rank) - below
+        wanted = [place]
+        if not whole:
+            part = F.try_divide(place.cast("double"), inside)
+            part = F.least(F.greatest(part, F.lit(0.0)), F.lit(1.0))
+            spread = 4.0 * F.sqrt(F.greatest(drawn * part * (1 - part), F.lit(1.0))) + 2.0
+            wanted = [F.floor(drawn * part - spread), F.ceil(drawn * part + spread)]
+        for side, position in enumerate(wanted):
+            columns.append(_at(keys, position).alias(f"pick_{i}_{rank}_{side}"))
+    return columns
+
+
+def _read_picks(row: Row, b: _Bracket, i: int, whole: bool):
+    sides = (0,) if whole else (0, 1)
+    picks = {r: tuple(_key(row[f"pick_{i}_{r}_{s}"]) for s in sides) for r in b.ranks}
+    if whole:
+        picks = {r: (key[0], None) for r, key in picks.items()}
+    return row[f"drawn_{i}"], picks
 
 
 def _at(keys: Column, place: Column) -> Column:

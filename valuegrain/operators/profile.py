@@ -14,6 +14,7 @@ from valuegrain.operators.order_stats import (
     order_statistics,
     quantile_ranks,
 )
+from valuegrain.session import constant_table
 
 SCORED_COLUMNS = ("days_since_last_purchase", "total_orders", "total_spent")
 STATISTICAL_COLUMNS = ("total_spent", "total_orders", "avg_order_value")
@@ -43,8 +44,8 @@ class Profile:
         return self.quantile(column, 0.5)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        row = [(json.dumps(asdict(self)),)]
-        spark.createDataFrame(row, "profile string").write.mode("overwrite").parquet(path)
+        row = constant_table(spark, [(json.dumps(asdict(self)),)], "profile")
+        row.write.mode("overwrite").parquet(path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Profile:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from valuegrain.functions.scoring import recommended_cac, value_segment
 from valuegrain.operators.customers import segment_column, value_column
 from valuegrain.schema import SEGMENTS
+from valuegrain.session import constant_table
 
 
 def score_columns(value: Column) -> dict[str, Column]:
@@ -36,9 +37,7 @@ def _segment(df: DataFrame) -> str:
 
 def every_segment(df: DataFrame, totals: DataFrame) -> DataFrame:
     """Attach ``totals`` to all three segment names, present or not. Three rows."""
-    names = df.sparkSession.createDataFrame(
-        [(name, place) for place, name in enumerate(SEGMENTS)], "segment string, place int"
-    )
+    names = constant_table(df.sparkSession, [(name,) for name in SEGMENTS], "segment")
     return F.broadcast(names).join(totals, "segment", "left")
 
 

@@ -30,7 +30,7 @@ from valuegrain.operators.segments import score_columns
 from valuegrain.operators.split import PARTS, random_split, temporal_split
 from valuegrain.plans.features import FAMILIES, FeaturePlan, fit_features
 from valuegrain.schema import ID
-from valuegrain.session import keep
+from valuegrain.session import constant_table, keep
 
 TARGET = "actual_clv"
 ORIGIN = "origin"
@@ -81,7 +81,7 @@ class ValueModel:
             "encoder": asdict(self.encoder),
             "method": self.plan.method,
         }
-        frame = spark.createDataFrame([(json.dumps(state),)], "state string")
+        frame = constant_table(spark, [(json.dumps(state),)], "state")
         frame.write.mode("overwrite").parquet(f"{path}/state")
 
     @staticmethod

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 
@@ -61,3 +62,12 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 def keep(df: DataFrame) -> DataFrame:
     """Cache a frame that several passes read. Lost blocks are recomputed."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def constant_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A small table of literals built inside the JVM, without Python workers."""
+    names = columns.split()
+    entries = [
+        F.struct(*[F.lit(value).alias(name) for name, value in zip(names, row)]) for row in rows
+    ]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*entries)))
