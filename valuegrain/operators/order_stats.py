@@ -2,8 +2,8 @@
 
 ``percentile`` keeps every distinct value in one task, which does not hold for
 billions of distinct amounts. Here each wanted rank is bracketed with a bounded
-sample, the rows below and inside the bracket are counted in one scan of the rows
-still in question, and the bracket shrinks until it is small enough to be gathered whole. Rows are never
+sample, the rows below and inside the bracket are counted in one scan, and the
+bracket shrinks until it is small enough to be gathered whole. Rows are never
 shuffled, and ties are broken by the row id, so a value shared by a third of all
 rows is bracketed like any other. The samples only decide how fast it converges;
 the result is exact whatever they hold.
@@ -14,7 +14,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -167,11 +166,26 @@ def _equals(column: str, key: Key) -> Column:
     return (F.col(column) == F.lit(key[0])) & (F.col(_ROW_ID) == F.lit(key[1]))
 
 
-def _within(column: str, low: Key | None, open_low: bool, high: Key | None) -> Column:
-    inside = F.col(column).isNotNull()
-    if low is not None:
-        inside = inside & ~_before(column, low, open_low)
-    return inside & _before(column, high) if high is not None else inside
+# Places of a key relative to a bracket.
+OUTSIDE, BELOW, AT_LOW, INSIDE, AT_HIGH, ABOVE = range(6)
+
+
+def _place(bracket: _Bracket) -> Column:
+    """Where a row's key lies, worked out once per row before the aggregation."""
+    c, known = bracket.column, bracket.known
+    place = F.when(F.col(c).isNull(), OUTSIDE)
+    if known.low is not None:
+        place = place.when(_before(c, known.low, known.open_low), OUTSIDE)
+    if known.high is not None:
+        place = place.when(~_before(c, known.high), OUTSIDE)
+    if bracket.low is not None:
+        place = place.when(_before(c, bracket.low, bracket.open_low), BELOW)
+        if not bracket.open_low:
+            place = place.when(_equals(c, bracket.low), AT_LOW)
+    if bracket.high is None:
+        return place.otherwise(INSIDE)
+    place = place.when(_before(c, bracket.high), INSIDE)
+    return place.when(_equals(c, bracket.high), AT_HIGH).otherwise(ABOVE)
 
 
 def _first_scan(keyed: DataFrame, brackets: list[_Bracket], sample_rows: int, seed: int):
@@ -191,37 +205,28 @@ def _first_scan(keyed: DataFrame, brackets: list[_Bracket], sample_rows: int, se
 
 
 def _scan(keyed: DataFrame, brackets: list[_Bracket], sample_rows: int, seed: int):
-    """One pass over the rows of the known ranges: counts and sampled cut keys.
+    """One pass: exact counts and sampled cut keys of every bracket.
 
     Only single keys reach the driver; each sample is sorted and read where it was
     gathered. A bracket that should hold at most ``sample_rows`` rows is gathered
     whole, a larger one is sampled at random to half that number.
     """
-    ranges = {(b.column, b.known): None for b in brackets}
-    searched = reduce(
-        Column.__or__, [_within(c, k.low, k.open_low, k.high) for c, k in ranges]
+    rows = keyed.withColumn(_DRAW, F.rand(seed)).withColumns(
+        {f"place_{i}": _place(b) for i, b in enumerate(brackets)}
     )
-    rows = keyed.where(searched).withColumn(_DRAW, F.rand(seed))
     whole = [b.expected <= sample_rows for b in brackets]
     aggregates, outputs = [], []
     for i, b in enumerate(brackets):
-        known = _within(b.column, b.known.low, b.known.open_low, b.known.high)
-        inside = known & _within(b.column, b.low, b.open_low, b.high)
-        below = F.lit(False)
-        if b.low is not None:
-            below = known & _before(b.column, b.low, b.open_low)
-        fresh_low = b.low is not None and not b.open_low
-        at_low = _equals(b.column, b.low) if fresh_low else F.lit(False)
-        at_high = _equals(b.column, b.high) if b.high is not None else F.lit(False)
+        place = F.col(f"place_{i}")
+        inside = (place == AT_LOW) | (place == INSIDE)
         taken = inside
         if not whole[i]:
             taken = inside & (F.col(_DRAW) < sample_rows / 2 / b.expected)
         aggregates += [
-            (F.count_if(below) + b.known.before).alias(f"below_{i}"),
+            (F.count_if(place == BELOW) + b.known.before).alias(f"below_{i}"),
             F.count_if(inside).alias(f"inside_{i}"),
-            F.count_if(at_low).alias(f"low_{i}"),
-            # Beyond the known range copies of the end key do not count.
-            F.count_if(at_high if b.high != b.known.high else F.lit(False)).alias(f"high_{i}"),
+            F.count_if(place == AT_LOW).alias(f"low_{i}"),
+            F.count_if(place == AT_HIGH).alias(f"high_{i}"),
             _gather(b, i, taken),
         ]
         outputs += [F.col(f"{n}_{i}") for n in ("below", "inside", "low", "high")]
