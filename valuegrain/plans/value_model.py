@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,7 @@ TARGET = "actual_clv"
 ORIGIN = "origin"
 TRAIN, VALIDATION, TEST = PARTS
 MIN_ROWS = 100
+ROWS_PER_PARTITION = 50_000
 TOP_FEATURES = 15
 
 
@@ -168,7 +170,11 @@ def train_value_model(
     fitting = features.where(F.col("split") != TEST).withColumns(
         {LABEL: F.col(TARGET), HELD_OUT: F.col("split") == VALIDATION}
     )
-    vectors = keep(encoder.vectors(fitting, keep=(ID, LABEL, HELD_OUT)))
+    # Tree learners run several jobs per level, so partitions should not be tiny.
+    wanted = math.ceil(plan.profile.rows / ROWS_PER_PARTITION)
+    partitions = max(wanted, df.sparkSession.sparkContext.defaultParallelism)
+    vectors = encoder.vectors(fitting, keep=(ID, LABEL, HELD_OUT)).coalesce(partitions)
+    vectors = keep(vectors)
     ensemble = fit_ensemble(vectors, encoder.features, config)
     for frame in (vectors, features, cleaned):
         frame.unpersist()
