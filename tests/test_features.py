@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from valuegrain.operators.catalogue import feature_names
+from valuegrain.operators.catalogue import feature_catalogue, feature_names, feature_summary
 from valuegrain.operators.rfm import rfm_segment
 from valuegrain.plans.features import FAMILIES, fit_features
 
@@ -168,3 +168,15 @@ def test_column_without_spread_has_no_z_score(spark):
     assert "total_orders_zscore" not in out.columns
     assert "total_spent_zscore" in out.columns
     assert sorted(r.frequency_score for r in out.collect()) == [1.0, 1.0, 2.0, 3.0, 4.0, 5.0]
+
+
+def test_catalogue_follows_the_table(spark):
+    assert feature_catalogue(spark, []).count() == 0
+    present = feature_catalogue(spark, ["rfm_score", "cac_roi", "cac_efficiency", "shoe_size"])
+    counts = {r.category: r.features for r in feature_summary(present).collect()}
+    assert counts == {"rfm": 1, "acquisition": 2}
+    whole = {r.category: r.features for r in feature_summary(feature_catalogue(spark)).collect()}
+    assert whole == {
+        "rfm": 10, "behavioral": 20, "temporal": 14, "statistical": 10, "acquisition": 9,
+        "interaction": 11,
+    }

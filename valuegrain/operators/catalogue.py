@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from valuegrain.session import constant_table
 
@@ -47,13 +48,9 @@ CATALOGUE = {
 
 def feature_catalogue(spark: SparkSession, columns: list[str] | None = None) -> DataFrame:
     """One row per registered feature; ``columns`` keeps those present in a table."""
-    rows = [
-        (name, category)
-        for category, names in CATALOGUE.items()
-        for name in names
-        if columns is None or name in columns
-    ]
-    return constant_table(spark, rows, "feature category")
+    rows = [(name, category) for category, names in CATALOGUE.items() for name in names]
+    table = constant_table(spark, rows, "feature category")
+    return table if columns is None else table.where(F.col("feature").isin(columns))
 
 
 def feature_names(category: str | None = None) -> list[str]:
