@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,15 +46,12 @@ def local_session(app: str = "valuegrain", cores: int | str = "*") -> SparkSessi
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the session's ``spark.checkpoint.dir``.
 
-    The setting names storage every executor can reach. Only local sessions, as in
-    tests, fall back to a temporary folder.
+    The setting names storage every executor can reach. Where it is unset, as in tests, the
+    folder lies in the session's warehouse, which executors share as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="valuegrain-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
