@@ -254,6 +254,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     rows = only(docs, "doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
     runs = stored(rows.select("row", "text").mapInArrow(_candidates, "run long, row long, place long"), "runs")
     shared = runs.groupBy("run").agg(F.min("row").alias("a"), F.max("row").alias("b")).filter("a != b").select("run")
+    # Written out, so that the join's sides are plain exchanges, which Spark can split at a hot run.
+    shared = stored(shared, "shared-runs")
     chosen = runs.join(shared, "run").groupBy("row").agg(F.collect_set("place").alias("places"))
     contexts = rows.join(chosen, "row").select("doc_id", "row", "text", "places").mapInArrow(_contexts, CONTEXTS)
     contexts = stored(contexts, "contexts")
