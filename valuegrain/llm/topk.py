@@ -25,7 +25,7 @@ TOP = 10
 CHUNK = 4096
 QUERIES = 2048
 #: Chunks of vectors that a task compares in a row with one block of queries.
-CHUNKS_PER_TASK = 8
+CHUNKS_PER_TASK = 4
 #: Local cosines from which coordinates are worth a look, and how many of them.
 COORDINATE_COSINE = 0.7
 FOCUS = 3
@@ -215,7 +215,7 @@ def top_products(table: DataFrame, every: int, k: int = TOP) -> DataFrame:
     dealt = dealt.repartition(blocks, "block").sortWithinPartitions("block", "vec_id")
     asked = stored(dealt.mapInArrow(_blocks, f"block int, {PACKED}"), "query-blocks")
     asked = asked.select("block", *[F.col(c).alias(f"q_{c}") for c in ("n", "width", "ids", "matrix", "norms")])
-    tasks = max(1, -(-chunks // CHUNKS_PER_TASK))
+    tasks = max(1, -(-packed.count() // CHUNKS_PER_TASK))
     met = (
         packed.withColumn("task", F.pmod(F.xxhash64("chunk"), F.lit(tasks)).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
