@@ -20,16 +20,21 @@ def prepare_session(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(app: str = "valuegrain", cores: int | str = "*") -> SparkSession:
+def local_session(
+    app: str = "valuegrain", cores: int | str = "*", shared: str | None = None
+) -> SparkSession:
     """Small local session for tests and the benchmark; a cluster brings its own.
 
     Call-site capture of the Python API is off: it makes every column expression many
     times slower to build and wide feature tables have hundreds of them. Clusters are
-    well advised to set the same option.
+    well advised to set the same option. ``shared`` becomes ``spark.checkpoint.dir``.
     """
     parallelism = "8" if cores == "*" else str(cores)
+    builder = SparkSession.builder
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     session = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", parallelism)
         .config("spark.sql.session.timeZone", "UTC")
