@@ -684,8 +684,7 @@ def oracle_queries() -> dict[str, str]:
         "features_holiday": _with("SELECT * FROM holiday", BASE, CLEAN, HOLIDAY),
         "feature_catalogue": _with("SELECT * FROM usage", *ALL_FEATURES, USAGE),
         "feature_summary": _with(
-            "SELECT category, count(*) AS features FROM usage WHERE nonzero > 0 "
-            "GROUP BY category",
+            "SELECT category, count(*) AS features FROM usage GROUP BY category",
             *ALL_FEATURES,
             USAGE,
         ),

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from valuegrain.schema import ID
 
-SINGLE_WINDOW_ROWS = 200_000
 SALTS = 32
 
 
@@ -23,44 +22,37 @@ def average_percent_rank(
     size: int,
     edges: Sequence[float],
     id_column: str = ID,
-    single_window_rows: int = SINGLE_WINDOW_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Add the average rank of ``column`` divided by ``size``, exactly.
 
     Rows are first counted per value, so a value shared by many rows is one row of
-    the ranking. Above ``single_window_rows`` the values are ranked in buckets
-    between ``edges``: a bucket depends on the value alone, so the edges decide how
+    the ranking. The values are ranked in buckets between ``edges``: a bucket depends on the value alone, so the edges decide how
     even the work is and never the result. Values that repeat among the edges hold
     at least about one step of all rows; they are salted in the join back.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(
         F.count(F.lit(1)).alias("ties")
     )
-    if size <= single_window_rows:
-        counts = counts.withColumn("bucket", F.lit(0.0))
-        offsets = None
-    else:
-        splits = [float("-inf"), *sorted(set(edges)), float("inf")]
-        value = f"{column}:double"
-        counts = Bucketizer(splits=splits, inputCol=value, outputCol="bucket").transform(
-            counts.withColumn(value, F.col(column).cast("double"))
-        ).drop(value)
-        # At most one row per bucket, however large the table.
-        ahead = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = (
-            counts.groupBy("bucket")
-            .agg(F.sum("ties").alias("held"))
-            .select("bucket", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("offset"))
-        )
+    splits = [float("-inf"), *(sorted(set(edges)) or [0.0]), float("inf")]
+    value = f"{column}:double"
+    counts = Bucketizer(splits=splits, inputCol=value, outputCol="bucket").transform(
+        counts.withColumn(value, F.col(column).cast("double"))
+    ).drop(value)
+    # At most one row per bucket, however large the table.
+    ahead = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        counts.groupBy("bucket")
+        .agg(F.sum("ties").alias("held"))
+        .select("bucket", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("offset"))
+    )
     before = (
         Window.partitionBy("bucket").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
     )
     ranked = counts.withColumn("below", F.coalesce(F.sum("ties").over(before), F.lit(0)))
-    if offsets is not None:
-        ranked = ranked.join(F.broadcast(offsets), "bucket").withColumn(
-            "below", F.col("below") + F.col("offset")
-        )
+    ranked = ranked.join(F.broadcast(offsets), "bucket").withColumn(
+        "below", F.col("below") + F.col("offset")
+    )
     share = (F.col("below") + (F.col("ties") + 1) / 2) / F.lit(size)
     ranked = ranked.select(F.col(column), share.alias(output))
 

@@ -246,7 +246,7 @@ def feature_catalogue(spark, folder):
 
 
 def feature_summary(spark, folder):
-    return catalogue.feature_summary(feature_catalogue(spark, folder).where("nonzero > 0"))
+    return catalogue.feature_summary(feature_catalogue(spark, folder))
 
 
 # --- customer views ------------------------------------------------------------------
