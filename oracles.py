@@ -532,6 +532,11 @@ def _encoded() -> str:
     return _with(f"SELECT customer_id, {numbers}, {flags} FROM clean", BASE, CLEAN)
 
 
+def _percentile(seed: int) -> str:
+    """Hash percentile of a customer for a random split."""
+    return f"('0x' || substr(md5(customer_id || ':{seed}'), 1, 8))::BIGINT % 100"
+
+
 def _intervals() -> str:
     mean = "((a + b + c) / 3)"
     return _with(
@@ -731,10 +736,15 @@ def oracle_queries() -> dict[str, str]:
             "GROUP BY names.segment"
         ),
         "segment_analysis": _scored(
-            "SELECT coalesce(predicted_segment, 'All') AS segment, count(*) AS customers, "
+            "SELECT names.segment, count(scored.customer_id) AS customers, "
+            "round(count(scored.customer_id) * 100.0 "
+            "/ CAST((SELECT count(*) FROM scored) AS DOUBLE), 6) AS percentage, "
             "round(avg(predicted_clv), 6) AS avg_predicted_clv, "
-            "sum(predicted_clv) AS total_predicted_value "
-            "FROM scored GROUP BY ROLLUP (predicted_segment)"
+            "coalesce(sum(predicted_clv), 0.0) AS total_predicted_value, "
+            "round(avg(recommended_cac), 6) AS avg_recommended_cac "
+            "FROM (VALUES ('High-CLV'), ('Growth-Potential'), ('Low-CLV'), ('All')) "
+            "AS names(segment) LEFT JOIN scored "
+            "ON names.segment IN (predicted_segment, 'All') GROUP BY names.segment"
         ),
         "dashboard_kpis": _scored(
             "SELECT count(*) AS total_customers, round(avg(predicted_clv), 6) AS avg_clv, "
@@ -800,6 +810,22 @@ def oracle_queries() -> dict[str, str]:
             TRAINING,
             SPLIT,
         ),
+        "random_split_rows": _with(
+            f"SELECT customer_id, CASE WHEN {_percentile(42)} < 20 THEN 'test' "
+            "ELSE 'train' END AS split FROM base",
+            TRAINING,
+        ),
+        "ensemble_invariants": _with(
+            "SELECT split || '_rows' AS name, CAST(count(*) AS DOUBLE) AS value FROM ("
+            f"SELECT CASE WHEN {_percentile(42)} < 20 THEN 'test' "
+            f"WHEN {_percentile(43)} < 20 THEN 'validation' ELSE 'train' END AS split "
+            "FROM base) GROUP BY split UNION ALL "
+            "SELECT name, CAST(value AS DOUBLE) FROM (VALUES ('negative_predictions', 0), "
+            "('outside_members', 0), ('importance_sum', 1), ('rank_gap', 0), "
+            "('weight_sum', 1), ('single_tree_boosters', 0), ('boosters_without_gain', 0)) "
+            "AS facts(name, value)",
+            TRAINING,
+        ),
         "encoded_features": _encoded(),
         "heuristic_eval": _with(
             "SELECT *, CAST(r2 >= 0.5 AS INTEGER) AS passed FROM "

@@ -10,19 +10,28 @@ from valuegrain.session import local_session  # noqa: E402
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
+def _small_space(session):
+    """The workspace of the fixture folder, which trains a small ensemble."""
+    from valuegrain.operators.ensemble import small_config
+    from valuegrain.plans.workspace import workspace
+
+    space = workspace(session, SF_DIR)
+    space.config = small_config
+    return space
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = local_session("tests", 8, str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
+    _small_space(session)
     yield session
     session.stop()
 
 
 @pytest.fixture(scope="session")
 def space(spark):
-    from valuegrain.plans.workspace import workspace
-
-    return workspace(spark, SF_DIR)
+    return _small_space(spark)
 
 
 @pytest.fixture(scope="session")

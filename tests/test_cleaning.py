@@ -154,7 +154,6 @@ def test_encoder_drops_the_first_level_and_scales_by_quartiles(five_customers):
         five_customers,
         numeric=["total_orders"],
         categorical=["acquisition_source"],
-        exact_scales=True,
     )
     assert encoder.features == [
         "total_orders",

@@ -1,0 +1,174 @@
+"""Gradient boosting in which every stage is shrunk, the first one included.
+
+Spark's own boosted trees take the first tree at full weight, whatever the step size. A deep
+first tree then overfits before boosting starts. Here each stage fits a few trees side by side on
+the residual of the stages before it and adds them at the same rate.
+"""
+
+from __future__ import annotations
+
+import json
+from dataclasses import dataclass
+
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from valuegrain.session import constant_table, keep, shared_dir
+
+GUESS, RESIDUAL = "guess", "residual"
+#: Stages after which the running prediction is stored, which cuts its lineage.
+STAGES_PER_STORE = 10
+
+
+@dataclass
+class BoostingSettings:
+    """``rounds`` trees at ``rate`` each; ``trees_per_stage`` of them share one residual.
+
+    A stage of n trees enters at 1 - (1 - rate) ** n, which is what n trees in a row would
+    take off a residual they all fit alike.
+    """
+
+    rounds: int
+    rate: float
+    depth: int
+    subsample: float = 0.8
+    column_share: float = 1.0
+    child_rows: int = 1
+    patience: int | None = None
+    trees_per_stage: int = 10
+    seed: int = 42
+
+    @property
+    def stage_trees(self) -> int:
+        return min(self.trees_per_stage, self.rounds)
+
+    @property
+    def stages(self) -> int:
+        return -(-self.rounds // self.stage_trees)
+
+    @property
+    def stage_rate(self) -> float:
+        return 1.0 - (1.0 - self.rate) ** self.stage_trees
+
+    @property
+    def stage_patience(self) -> int | None:
+        return None if self.patience is None else -(-self.patience // self.stage_trees)
+
+
+@dataclass
+class BoostedModel:
+    """A base value and the stages added to it at one rate."""
+
+    name: str
+    base: float
+    rate: float
+    stages: list[RandomForestRegressionModel]
+    #: Held-out squared error after no stage, one stage, and so on; empty without such rows.
+    errors: list[float]
+
+    @property
+    def trees(self) -> int:
+        return sum(stage.getNumTrees for stage in self.stages)
+
+    @property
+    def importances(self) -> list[float]:
+        """Mean importance of each feature over the stages, summing to one where any split."""
+        per_stage = [stage.featureImportances.toArray() for stage in self.stages]
+        totals = sum(per_stage)
+        return [float(v) for v in totals / (totals.sum() or 1.0)]
+
+    def transform(self, vectors: DataFrame) -> DataFrame:
+        """Add the prediction as column ``name``."""
+        df = vectors
+        for stage in self.stages:
+            df = stage.transform(df)
+        steps = [stage.getPredictionCol() for stage in self.stages]
+        return df.withColumn(self.name, self.base + self.rate * _total(steps)).drop(*steps)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        for place, stage in enumerate(self.stages):
+            stage.write().overwrite().save(f"{path}/stages/{place}")
+        state = {
+            "name": self.name,
+            "base": self.base,
+            "rate": self.rate,
+            "stages": len(self.stages),
+            "errors": self.errors,
+        }
+        frame = constant_table(spark, [(json.dumps(state),)], "state")
+        frame.write.mode("overwrite").parquet(f"{path}/state")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> BoostedModel:
+        state = json.loads(spark.read.parquet(f"{path}/state").first()["state"])
+        stages = [
+            RandomForestRegressionModel.load(f"{path}/stages/{place}")
+            for place in range(state["stages"])
+        ]
+        return BoostedModel(state["name"], state["base"], state["rate"], stages, state["errors"])
+
+
+def _total(columns: list[str]) -> Column:
+    return F.aggregate(F.array(*columns), F.lit(0.0), lambda done, step: done + step)
+
+
+def fit_boosted(
+    vectors: DataFrame, settings: BoostingSettings, *, name: str, label: str, held_out: str
+) -> BoostedModel:
+    """Boost from the mean label on the rows that are not held out.
+
+    With ``patience`` the stages up to the lowest held-out error are kept, at least one, and
+    boosting ends once that many trees brought no lower one. Only the running prediction is
+    carried from stage to stage; it is cached, and stored every few stages.
+    """
+    spark = vectors.sparkSession
+    fitted = ~F.col(held_out)
+    base = vectors.where(fitted).agg(F.avg(label)).first()[0] or 0.0
+    columns = ["features", label, held_out]
+    current = keep(vectors.select(*columns, F.lit(float(base)).alias(GUESS)))
+    errors = [_held_out_error(current, label, held_out)]
+    stages: list[RandomForestRegressionModel] = []
+    best = 0
+    for place in range(settings.stages):
+        learner = RandomForestRegressor(
+            featuresCol="features",
+            labelCol=RESIDUAL,
+            predictionCol=f"{name}_{place}",
+            numTrees=settings.stage_trees,
+            maxDepth=settings.depth,
+            minInstancesPerNode=settings.child_rows,
+            subsamplingRate=settings.subsample,
+            bootstrap=False,
+            featureSubsetStrategy=str(settings.column_share),
+            maxMemoryInMB=512,
+            seed=settings.seed + place,
+        )
+        residuals = current.where(fitted).withColumn(RESIDUAL, F.col(label) - F.col(GUESS))
+        stage = learner.fit(residuals)
+        stages.append(stage)
+        moved = F.col(GUESS) + settings.stage_rate * F.col(stage.getPredictionCol())
+        following = stage.transform(current).select(*columns, moved.alias(GUESS))
+        if (place + 1) % STAGES_PER_STORE == 0:
+            stored = shared_dir(spark, "boosting")
+            following.write.parquet(stored)
+            following = spark.read.parquet(stored)
+        following = keep(following)
+        errors.append(_held_out_error(following, label, held_out))
+        current.unpersist()
+        current = following
+        if errors[-1] is None or settings.stage_patience is None:
+            best = len(stages)
+        elif best == 0 or errors[-1] < errors[best]:
+            best = len(stages)
+        elif len(stages) - best >= settings.stage_patience:
+            break
+    current.unpersist()
+    known = [e for e in errors if e is not None]
+    return BoostedModel(name, float(base), settings.stage_rate, stages[:best], known[: best + 1])
+
+
+def _held_out_error(frame: DataFrame, label: str, held_out: str) -> float | None:
+    """Squared error of the held-out rows, none without such rows; fills the cache."""
+    missed = F.pow(F.col(label) - F.col(GUESS), 2)
+    return frame.agg(F.avg(F.when(F.col(held_out), missed))).first()[0]

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from valuegrain import schema as S
 from valuegrain.operators.order_stats import quantiles
+from valuegrain.schema import ID
 
-MAX_LEVELS = 1000
-SCALE_ACCURACY = 1000
 QUARTILES = [0.25, 0.5, 0.75]
 LABEL_TEXT = ("rfm_string", "rfm_segment")
 
@@ -100,37 +99,28 @@ def fit_encoder(
     *,
     numeric: list[str] | None = None,
     categorical: list[str] | None = None,
-    exact_scales: bool = False,
 ) -> Encoder:
-    """Two scans: level counts of the text columns, quartiles of the numeric ones.
+    """Level counts of the text columns, exact interpolated quartiles of the numeric ones.
 
-    Quartiles of a 0/1 level column follow from its count; the others are sketched
-    unless ``exact_scales`` asks for exact interpolated ones of non-null columns. A
-    quartile range of zero scales by one, so a rare flag keeps its meaning.
+    Quartiles of a 0/1 level column follow from its count. A missing number counts as zero,
+    as it does in the encoded column. A quartile range of zero scales by one, so a rare flag
+    keeps its meaning. The levels are part of the model, hence as many as the features.
     """
     numeric = numeric_features(df) if numeric is None else numeric
     if categorical is None:
         categorical = [c for c in S.string_columns(df.schema) if c not in S.NON_FEATURES]
     counts = _level_counts(df, categorical)
     encoder = Encoder(numeric, {c: sorted(found) for c, found in counts.items()})
-    row = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[
-            F.percentile_approx(
-                F.coalesce(F.col(c).cast("double"), F.lit(0.0)), QUARTILES, SCALE_ACCURACY
-            ).alias(f"q{i}")
-            for i, c in enumerate([] if exact_scales else numeric)
-        ],
-    ).first()
-    if exact_scales:
-        exact = quantiles(df, {c: QUARTILES for c in numeric})
-        quartiles = {c: [exact[c][q] for q in QUARTILES] for c in numeric}
-    else:
-        quartiles = {c: row[f"q{i}"] for i, c in enumerate(numeric)}
+    filled = df.select(
+        ID, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numeric]
+    )
+    exact = quantiles(filled, {c: QUARTILES for c in numeric})
+    quartiles = {c: [exact[c][q] for q in QUARTILES] for c in numeric}
+    rows = df.count()
     for c, values in encoder.levels.items():
         for value in values[1:]:
-            zeros = row["rows"] - counts[c][value]
-            quartiles[f"{c}_{value}"] = [float(q * row["rows"] > zeros) for q in QUARTILES]
+            zeros = rows - counts[c][value]
+            quartiles[f"{c}_{value}"] = [float(q * rows > zeros) for q in QUARTILES]
     for name, (low, middle, high) in quartiles.items():
         encoder.centers[name] = float(middle)
         encoder.scales[name] = float(high - low) or 1.0
@@ -138,7 +128,7 @@ def fit_encoder(
 
 
 def _level_counts(df: DataFrame, columns: list[str]) -> dict[str, dict[str, int]]:
-    """Rows per level of each text column; refuses columns that are not categorical."""
+    """Rows per level of each text column."""
     if not columns:
         return {}
     pairs = F.array(
@@ -147,8 +137,7 @@ def _level_counts(df: DataFrame, columns: list[str]) -> dict[str, dict[str, int]
     counted = (
         df.select(F.inline(pairs)).where(F.col("level").isNotNull()).groupBy("name", "level")
     ).count()
-    limit = MAX_LEVELS * len(columns)
-    found = counted.limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} levels in {columns}: not categorical")
-    return {c: {r["level"]: r["count"] for r in found if r["name"] == c} for c in columns}
+    levels: dict[str, dict[str, int]] = {c: {} for c in columns}
+    for row in counted.collect():
+        levels[row["name"]][row["level"]] = row["count"]
+    return levels

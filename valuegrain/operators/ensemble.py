@@ -7,8 +7,6 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Model
 from pyspark.ml.regression import (
-    GBTRegressionModel,
-    GBTRegressor,
     LinearRegression,
     LinearRegressionModel,
     RandomForestRegressionModel,
@@ -17,31 +15,38 @@ from pyspark.ml.regression import (
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from valuegrain.operators.boosting import BoostedModel, BoostingSettings, fit_boosted
 from valuegrain.session import constant_table
 
 MAE_FLOOR = 1e-6
 LABEL, HELD_OUT = "label", "held_out"
 LINEAR = "ridge"
 MODEL_CLASSES = {
-    "boosting_deep": GBTRegressionModel,
-    "boosting_wide": GBTRegressionModel,
+    "boosting_deep": BoostedModel,
+    "boosting_wide": BoostedModel,
     "random_forest": RandomForestRegressionModel,
-    "gradient_boosting": GBTRegressionModel,
+    "gradient_boosting": BoostedModel,
     LINEAR: LinearRegressionModel,
 }
 
 
 @dataclass
 class EnsembleConfig:
-    """Member settings. The two large boosters stop early on the held-out rows; they
-    stand in for leaf-wise and regularised boosting, which Spark ML does not offer."""
+    """Member settings. Rounds count trees. The two large boosters stop early on the
+    held-out rows; they stand in for leaf-wise and regularised boosting, which Spark ML
+    does not offer."""
 
     members: tuple[str, ...] = tuple(MODEL_CLASSES)
     boosting_rounds: int = 500
     boosting_rate: float = 0.05
+    boosting_patience: int = 50
     deep_depth: int = 6
+    deep_child_rows: int = 3
     wide_depth: int = 5
+    wide_child_rows: int = 20
     subsample: float = 0.8
+    column_share: float = 0.8
+    trees_per_stage: int = 10
     forest_trees: int = 100
     forest_depth: int = 15
     forest_min_rows: int = 2
@@ -58,6 +63,7 @@ def small_config(**changes) -> EnsembleConfig:
     settings = dict(
         boosting_rounds=12,
         boosting_rate=0.2,
+        trees_per_stage=2,
         deep_depth=4,
         wide_depth=3,
         forest_trees=12,
@@ -69,18 +75,40 @@ def small_config(**changes) -> EnsembleConfig:
     return EnsembleConfig(**{**settings, **changes})
 
 
+def _boosting(name: str, config: EnsembleConfig) -> BoostingSettings | None:
+    """Settings of a boosted member, none for the other members."""
+    shared = {
+        "subsample": config.subsample,
+        "trees_per_stage": config.trees_per_stage,
+        "seed": config.seed,
+    }
+    if name == "gradient_boosting":
+        return BoostingSettings(
+            rounds=config.gradient_rounds,
+            rate=config.gradient_rate,
+            depth=config.gradient_depth,
+            **shared,
+        )
+    large = {
+        "boosting_deep": (config.deep_depth, config.deep_child_rows),
+        "boosting_wide": (config.wide_depth, config.wide_child_rows),
+    }
+    if name not in large:
+        return None
+    depth, child_rows = large[name]
+    return BoostingSettings(
+        rounds=config.boosting_rounds,
+        rate=config.boosting_rate,
+        depth=depth,
+        child_rows=child_rows,
+        column_share=config.column_share,
+        patience=config.boosting_patience,
+        **shared,
+    )
+
+
 def _estimator(name: str, config: EnsembleConfig, ridge_penalty: float):
     common = {"featuresCol": "features", "labelCol": LABEL, "predictionCol": _raw(name)}
-    boosted = {**common, "subsamplingRate": config.subsample, "seed": config.seed}
-    if name == "boosting_deep" or name == "boosting_wide":
-        depth = config.deep_depth if name == "boosting_deep" else config.wide_depth
-        return GBTRegressor(
-            **boosted,
-            maxIter=config.boosting_rounds,
-            maxDepth=depth,
-            stepSize=config.boosting_rate,
-            validationIndicatorCol=HELD_OUT,
-        )
     if name == "random_forest":
         return RandomForestRegressor(
             **common,
@@ -89,13 +117,6 @@ def _estimator(name: str, config: EnsembleConfig, ridge_penalty: float):
             minInstancesPerNode=config.forest_min_rows,
             seed=config.seed,
         )
-    if name == "gradient_boosting":
-        return GBTRegressor(
-            **boosted,
-            maxIter=config.gradient_rounds,
-            maxDepth=config.gradient_depth,
-            stepSize=config.gradient_rate,
-        )
     if name == LINEAR:
         return LinearRegression(
             **common,
@@ -107,6 +128,12 @@ def _estimator(name: str, config: EnsembleConfig, ridge_penalty: float):
     raise ValueError(f"unknown member: {name}")
 
 
+def _importances(model: Model | BoostedModel) -> list[float]:
+    if isinstance(model, BoostedModel):
+        return model.importances
+    return [float(value) for value in model.featureImportances.toArray()]
+
+
 def _raw(name: str) -> str:
     return f"raw_{name}"
 
@@ -140,7 +167,7 @@ def weighted_mean(guesses: dict[str, str], weights: dict[str, float]) -> Column:
 
 @dataclass
 class Ensemble:
-    members: dict[str, Model]
+    members: dict[str, Model | BoostedModel]
     weights: dict[str, float] = field(default_factory=dict)
     features: list[str] = field(default_factory=list)
 
@@ -175,7 +202,7 @@ class Ensemble:
         totals = [0.0] * len(self.features)
         for name, model in trees.items():
             share = self.weights.get(name, 0.0) / held if held > 0 else 0.0
-            for place, value in enumerate(model.featureImportances.toArray()):
+            for place, value in enumerate(_importances(model)):
                 totals[place] += share * float(value)
         ordered = sorted(zip(self.features, totals), key=lambda entry: (-entry[1], entry[0]))
         rows = [(name, value, place) for place, (name, value) in enumerate(ordered, start=1)]
@@ -183,7 +210,10 @@ class Ensemble:
 
     def save(self, spark: SparkSession, path: str) -> None:
         for name, model in self.members.items():
-            model.write().overwrite().save(f"{path}/members/{name}")
+            if isinstance(model, BoostedModel):
+                model.save(spark, f"{path}/members/{name}")
+            else:
+                model.write().overwrite().save(f"{path}/members/{name}")
         state = {
             "members": list(self.members),
             "weights": self.weights,
@@ -195,10 +225,10 @@ class Ensemble:
     @staticmethod
     def load(spark: SparkSession, path: str) -> Ensemble:
         state = json.loads(spark.read.parquet(f"{path}/state").first()["state"])
-        members = {
-            name: MODEL_CLASSES[name].load(f"{path}/members/{name}")
-            for name in state["members"]
-        }
+        members = {}
+        for name in state["members"]:
+            kind, folder = MODEL_CLASSES[name], f"{path}/members/{name}"
+            members[name] = kind.load(spark, folder) if kind is BoostedModel else kind.load(folder)
         return Ensemble(members, state["weights"], state["features"])
 
 
@@ -217,11 +247,17 @@ def fit_ensemble(vectors: DataFrame, features: list[str], config: EnsembleConfig
     penalty = config.ridge_alpha * (moments["sd"] or 0.0) / max(moments["rows"], 1)
     members = {}
     for name in config.members:
-        estimator = _estimator(name, config, penalty)
-        early_stop = estimator.hasParam("validationIndicatorCol") and estimator.isSet(
-            "validationIndicatorCol"
-        )
-        members[name] = estimator.fit(vectors if early_stop else fitted_on)
+        boosting = _boosting(name, config)
+        if boosting:
+            members[name] = fit_boosted(
+                vectors if boosting.patience else fitted_on,
+                boosting,
+                name=_raw(name),
+                label=LABEL,
+                held_out=HELD_OUT,
+            )
+        else:
+            members[name] = _estimator(name, config, penalty).fit(fitted_on)
     ensemble = Ensemble(members, features=features)
     held = ensemble.predict_members(vectors.where(HELD_OUT))
     ensemble.weights = inverse_error_weights(held, LABEL, ensemble.guesses, config.auto_weight)

@@ -10,6 +10,8 @@ from valuegrain.operators.customers import segment_column, value_column
 from valuegrain.schema import SEGMENTS
 from valuegrain.session import constant_table
 
+ALL = "All"
+
 
 def score_columns(value: Column) -> dict[str, Column]:
     """Rounded value, its segment and the recommended acquisition cost."""
@@ -67,18 +69,35 @@ def segment_summary(df: DataFrame) -> DataFrame:
 
 
 def segment_analysis(df: DataFrame) -> DataFrame:
-    """The summary of each segment with a grand total row, in one aggregation."""
+    """Count, share, mean and total value and mean cost of each segment and of all rows.
+
+    All three segments have a row; means are null for one without customers.
+    """
     label = _segment(df)
     value = value_column(df)
+    cost = F.col("recommended_cac") if "recommended_cac" in df.columns else F.lit(None)
     rolled = df.rollup(label).agg(
         F.grouping(label).alias("is_total"),
         F.count(F.lit(1)).alias("customers"),
         F.avg(value).alias("avg_predicted_clv"),
         F.sum(value).alias("total_predicted_value"),
+        F.avg(cost.cast("double")).alias("avg_recommended_cac"),
     )
-    return rolled.select(
-        F.when(F.col("is_total") == 1, "All").otherwise(F.col(label)).alias("segment"),
-        "customers",
+    # One row per segment label and one for all of them.
+    named = rolled.withColumns(
+        {
+            "segment": F.when(F.col("is_total") == 1, ALL).otherwise(F.col(label)),
+            "everyone": F.max("customers").over(Window.partitionBy()),
+        }
+    )
+    names = constant_table(df.sparkSession, [(n,) for n in (*SEGMENTS, ALL)], "segment")
+    full = F.broadcast(names).join(named, "segment", "left")
+    count = F.coalesce(F.col("customers"), F.lit(0))
+    return full.select(
+        "segment",
+        count.alias("customers"),
+        F.coalesce(F.try_divide(count * 100.0, F.col("everyone")), F.lit(0.0)).alias("percentage"),
         "avg_predicted_clv",
-        "total_predicted_value",
+        F.coalesce("total_predicted_value", F.lit(0.0)).alias("total_predicted_value"),
+        "avg_recommended_cac",
     )

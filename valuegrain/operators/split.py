@@ -44,8 +44,12 @@ def temporal_split(
 
 
 def random_part(seed: int, *, id_column: str = ID) -> Column:
-    """Stable pseudo-random percentile of a row, from its id and the seed alone."""
-    return F.pmod(F.xxhash64(F.col(id_column), F.lit(seed)), F.lit(100))
+    """Stable pseudo-random percentile of a row, from its id and the seed alone.
+
+    The first eight hex digits of an MD5 sum, so that any SQL engine finds the same rows.
+    """
+    digest = F.md5(F.concat_ws(":", F.col(id_column), F.lit(seed)))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 100
 
 
 def random_split(df: DataFrame, *, test_percent: int = 20, seed: int = 42, output: str = "split"):

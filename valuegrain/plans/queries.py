@@ -16,6 +16,7 @@ from valuegrain.functions.scoring import (
     response_cac,
 )
 from valuegrain.operators import audience, catalogue, customers, dashboard, evaluate, quality
+from valuegrain.operators.boosting import BoostedModel
 from valuegrain.operators.calendar import HOLIDAYS
 from valuegrain.operators.clean import present_gaps
 from valuegrain.operators.encode import fit_encoder
@@ -32,7 +33,7 @@ from valuegrain.plans.features import FAMILIES, FeaturePlan
 from valuegrain.plans.value_model import TEST, evaluate_value_model
 from valuegrain.plans.workspace import TRAINING_CUTOFF, heuristic_scores, workspace
 from valuegrain.schema import ID
-from valuegrain.session import shared_dir
+from valuegrain.session import constant_table, shared_dir
 from valuegrain.sources.exports import audience_export, write_audiences
 from valuegrain.sources.files import read_customers_csv, write_features_csv
 from valuegrain.streaming.scoring import customer_stream, route_stream, score_stream
@@ -323,7 +324,8 @@ def segment_summary_table(spark, folder):
 
 
 def segment_analysis_table(spark, folder):
-    return rounded(segment_analysis(workspace(spark, folder).scored), "avg_predicted_clv")
+    analysis = segment_analysis(workspace(spark, folder).scored)
+    return rounded(analysis, "percentage", "avg_predicted_clv", "avg_recommended_cac")
 
 
 def dashboard_kpis(spark, folder):
@@ -411,9 +413,7 @@ def random_split_rows(spark, folder):
 def encoded_features(spark, folder):
     """One-hot levels and robustly scaled numbers with exact quartiles."""
     cleaned = workspace(spark, folder).cleaned
-    encoder = fit_encoder(
-        cleaned, numeric=ENCODED_NUMBERS, categorical=ENCODED_TEXTS, exact_scales=True
-    )
+    encoder = fit_encoder(cleaned, numeric=ENCODED_NUMBERS, categorical=ENCODED_TEXTS)
     encoded = encoder.encode(cleaned, keep=(ID,))
     scaled = {
         c: F.round((F.col(c) - encoder.centers[c]) / encoder.scales[c], 6)
@@ -501,6 +501,37 @@ def ensemble_evaluation(spark, folder):
     return evaluate_value_model(training.model, training.part(TEST))["segment_errors"]
 
 
+def ensemble_invariants(spark, folder):
+    """Sizes of the split and facts that hold for every fitted ensemble, as (name, value)."""
+    training = workspace(spark, folder).training
+    ensemble = training.model.ensemble
+    members = [F.col(c) for c in ensemble.guesses.values()]
+    lowest, highest, slack = F.least(*members), F.greatest(*members), 1e-6
+    outside = ~F.col("ensemble").between(lowest - slack, highest + slack)
+    boosted = [m for m in ensemble.members.values() if isinstance(m, BoostedModel)]
+    falling = [m for m in boosted if m.errors]
+    sizes = training.rows.groupBy(F.concat("split", F.lit("_rows")).alias("name")).agg(
+        F.count(F.lit(1)).cast("double").alias("value")
+    )
+    predicted = training.model.predict(training.part(TEST)).agg(
+        F.count_if(lowest < 0).cast("double").alias("negative_predictions"),
+        F.count_if(outside).cast("double").alias("outside_members"),
+    )
+    ranked = training.importance(None).agg(
+        F.round(F.sum("importance"), 6).alias("importance_sum"),
+        (F.sum("rank") - F.count("rank") * (F.count("rank") + 1) / 2).alias("rank_gap"),
+    )
+    known = [
+        ("weight_sum", round(sum(ensemble.weights.values()), 6)),
+        ("single_tree_boosters", float(sum(m.trees <= 1 for m in boosted))),
+        ("boosters_without_gain", float(sum(min(m.errors) >= m.errors[1] for m in falling))),
+    ]
+    wide = [t.unpivot([], t.columns, "name", "value") for t in (predicted, ranked)]
+    return sizes.unionByName(wide[0]).unionByName(wide[1]).unionByName(
+        constant_table(spark, known, "name value")
+    )
+
+
 def feature_importance(spark, folder):
     return workspace(spark, folder).training.importance()
 
@@ -594,6 +625,7 @@ QUERIES: dict[str, Query] = {
     "ensemble_metrics": ensemble_metrics,
     "ensemble_evaluation": ensemble_evaluation,
     "feature_importance": feature_importance,
+    "ensemble_invariants": ensemble_invariants,
     "stream_scores": stream_scores,
     "stream_routing": stream_routing,
 }

@@ -30,8 +30,7 @@ from valuegrain.operators.profile import Profile
 from valuegrain.operators.segments import score_columns
 from valuegrain.operators.split import PARTS, random_split, temporal_split
 from valuegrain.plans.features import FAMILIES, FeaturePlan, fit_features
-from valuegrain.schema import ID
-from valuegrain.session import constant_table, keep
+from valuegrain.session import constant_table, keep, shared_dir
 
 TARGET = "actual_clv"
 ORIGIN = "origin"
@@ -173,8 +172,11 @@ def train_value_model(
     # Tree learners run several jobs per level, so partitions should not be tiny.
     wanted = math.ceil(plan.profile.rows / ROWS_PER_PARTITION)
     partitions = max(wanted, df.sparkSession.sparkContext.defaultParallelism)
-    vectors = encoder.vectors(fitting, keep=(ID, LABEL, HELD_OUT)).coalesce(partitions)
-    vectors = keep(vectors)
+    vectors = encoder.vectors(fitting, keep=(LABEL, HELD_OUT)).coalesce(partitions)
+    # Read by hundreds of jobs, so it is stored: their plans then begin here.
+    stored = shared_dir(df.sparkSession, "vectors")
+    vectors.write.parquet(stored)
+    vectors = keep(df.sparkSession.read.parquet(stored))
     ensemble = fit_ensemble(vectors, encoder.features, config)
     for frame in (vectors, features, cleaned):
         frame.unpersist()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from valuegrain.functions.scoring import heuristic_value, request_confidence
 from valuegrain.operators.clean import Cleaning, fit_cleaning
-from valuegrain.operators.ensemble import EnsembleConfig, small_config
+from valuegrain.operators.ensemble import EnsembleConfig
 from valuegrain.operators.segments import score_columns
 from valuegrain.plans.features import FeaturePlan, fit_features
 from valuegrain.plans.value_model import Training, train_value_model
@@ -81,7 +81,7 @@ class Workspace:
         return keep(heuristic_scores(self.labelled))
 
     def config(self) -> EnsembleConfig:
-        return small_config()
+        return EnsembleConfig()
 
     @cached_property
     def training(self) -> Training:

@@ -21,13 +21,14 @@ PAID_SOURCES = ("Meta Ads", "Google Ads")
 
 MONEY_UNIT = 5000.0
 COST_UNIT = 100.0
+ORDER_KEYS = 2**63
 
 
 def read_facts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in FACT_TABLES}
 
 
-def _choose(column: Column, mapping: dict[str, str], otherwise: str) -> Column:
+def _choose(column: Column, mapping: dict, otherwise: str) -> Column:
     chosen = F.lit(otherwise)
     for key, value in mapping.items():
         chosen = F.when(column == key, value).otherwise(chosen)
@@ -58,10 +59,13 @@ def build_customers(
     if cutoff is not None:
         stored_type = facts["orders"].schema["o_orderdate"].dataType
         in_window = ordered < F.lit(cutoff).cast(stored_type)
+    priority = F.lit(len(CAMPAIGN_OF_PRIORITY))
+    for code, name in enumerate(CAMPAIGN_OF_PRIORITY):
+        priority = F.when(F.col("o_orderpriority") == name, code).otherwise(priority)
     orders = facts["orders"].select(
         "o_orderkey",
         "o_custkey",
-        "o_orderpriority",
+        priority.alias("priority"),
         F.to_date("o_orderdate").alias("day"),
         in_window.alias("in_window"),
         F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"),
@@ -80,13 +84,19 @@ def build_customers(
     def windowed(column: Column) -> Column:
         return F.when(F.col("in_window"), column) if spans_history else column
 
-    first_order = F.min(windowed(F.struct("day", "o_orderkey", "o_orderpriority")))
+    # Numbers of fixed width keep this a hash aggregate: the first order is the one of the
+    # smallest (day, order key), packed into one decimal, and its priority is a code.
+    placed = (
+        F.unix_date("day").cast("decimal(10,0)") * F.lit(str(ORDER_KEYS)).cast("decimal(20,0)")
+        + F.col("o_orderkey").cast("decimal(20,0)")
+    )
     order_facts = source.groupBy("o_custkey").agg(
         F.count(windowed(F.col("o_orderkey"))).alias("total_orders"),
         F.sum(windowed(F.col("cents"))).alias("cents"),
         F.sum("cents").alias("lifetime_cents"),
         F.max(windowed(F.col("day"))).alias("last_day"),
-        first_order.alias("first_order"),
+        F.min(windowed(F.col("day"))).alias("first_day"),
+        F.min_by("priority", windowed(placed)).alias("first_priority"),
     )
     if spans_history:
         order_facts = order_facts.where("total_orders > 0")
@@ -102,11 +112,12 @@ def build_customers(
         )
 
     spent = F.col("cents").cast("double") / F.lit(100.0 * money_unit)
-    first_day = F.col("first_order.day")
+    first_day = F.col("first_day")
+    campaigns = dict(enumerate(CAMPAIGN_OF_PRIORITY.values()))
     acquired_by = _choose(F.col("c_mktsegment"), SOURCE_OF_MARKET, "Direct")
     campaign = F.when(
         acquired_by.isin(*PAID_SOURCES),
-        _choose(F.col("first_order.o_orderpriority"), CAMPAIGN_OF_PRIORITY, "Prospecting"),
+        _choose(F.col("first_priority"), campaigns, "Prospecting"),
     ).otherwise("None")
     columns = [
         F.format_string("CUST_%012d", "o_custkey").alias("customer_id"),
