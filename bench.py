@@ -50,6 +50,9 @@ HEADLINE = (
     "ensemble_metrics",
 )
 
+# Tables cached after a query, for those that follow; filling the cache is timed as well.
+CACHED = {"customer_base": "customers", "training_base": "labelled"}
+
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -64,10 +67,10 @@ def main() -> None:
         start = time.time()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         timings[name] = round(time.time() - start, 3)
-        if name == "customer_base":
-            workspace(spark, folder).customers.count()
-        elif name == "training_base":
-            workspace(spark, folder).labelled.count()
+        if name in CACHED:
+            start = time.time()
+            getattr(workspace(spark, folder), CACHED[name]).count()
+            timings[f"{name}_cached"] = round(time.time() - start, 3)
     print(
         json.dumps(
             {
