@@ -84,6 +84,43 @@ def test_repeated_passages_match_the_plain_version(spark, rng):
     assert _passages(spark, texts) == plain.repeated(texts)
 
 
+def test_passages_behind_nearer_neighbours_are_found(spark, rng, monkeypatch):
+    """Shorter quotes from both sides lie between two documents in both sorted orders."""
+    hidden = []
+    whole = suffix_dedup._hidden_matches
+    monkeypatch.setattr(suffix_dedup, "_hidden_matches", lambda *a: hidden.append(whole(*a)) or hidden[-1])
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    text = lambda n: [word() for _ in range(n)]
+    texts = {}
+    for _ in range(12):
+        shared = text(50)
+        for source in (text(40) + shared + text(40), text(40) + shared + text(40)):
+            texts[len(texts)] = source
+            for _ in range(12):
+                size, at = rng.randrange(20, 50), rng.randrange(10, 75)
+                texts[len(texts)] = text(25) + source[at : at + size] + text(25)
+    texts = {i: " ".join(w) for i, w in texts.items()}
+    want = plain.repeated(texts)
+    assert _passages(spark, texts) == want and sum(map(len, want.values())) >= 24
+    assert hidden[0].count()
+    monkeypatch.setattr(suffix_dedup, "SENT_RUNS", 0)
+    assert _passages(spark, texts) == want
+
+
+def test_repeated_words_at_the_ends_of_a_passage(spark, rng):
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    texts = {}
+    for k in range(20):
+        middle, size = [word() for _ in range(rng.randrange(20, 45))], 50
+        left = rng.randrange(0, size - len(middle) + 1)
+        right = size - len(middle) - left
+        for _ in range(2):
+            a, b = rng.choice([0, 7, 60, 90]), rng.choice([0, 7, 60, 90])
+            core = ["a"] * (left + a) + middle + ["a"] * (right + b)
+            texts[len(texts)] = " ".join([word(), word(), *core, word(), word()])
+    assert _passages(spark, texts) == plain.repeated(texts)
+
+
 def test_repeated_passages_of_the_documents(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400).collect()
     texts = {r.doc_id: r.text for r in rows}

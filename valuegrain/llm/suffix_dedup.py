@@ -5,6 +5,11 @@ the smallest hash. A passage of MINIMUM words holds its own minimiser wherever i
 repeat is lost. Minimisers whose run of words occurs in one document only are dropped; the others
 are range-sorted over the cluster by the words that follow (and once more by the words before),
 each is compared with its neighbours of other documents, and matches are extended to both sides.
+
+A nearest neighbour agrees longest on the side that was sorted by, so the two orders tell how far
+any match at a minimiser can reach. Where the matches found fall short of that reach, a third
+document may hide behind the neighbours: there the windows of MINIMUM words around the minimiser
+are compared by hash with those of all documents that have the same run, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ MINIMUM = 50
 KGRAM = 8
 #: Bytes of a word's hash in the contexts that are compared.
 WORD_BYTES = 3
+#: Open runs that are sent to every task at most; more of them are joined by a shuffle.
+SENT_RUNS = 100_000
 _REACH = MINIMUM - KGRAM
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,7 +63,8 @@ def run_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
 def minimisers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the runs that are the smallest of some MINIMUM words of one text.
 
-    Of equal runs in a row only every ``_REACH + 1``-th counts, so text of one word over and over
+    The first one counts if there are several. In MINIMUM words that are all the same it is
+    every ``_REACH + 1``-th place of the stretch of that word, so text of one word over and over
     doesn't select all its places.
     """
     own = run_hashes(hashes, KGRAM)
@@ -67,9 +75,11 @@ def minimisers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(own), bool)
     new[1:] = own[1:] != own[:-1]
     since = index - np.maximum.accumulate(np.where(new, index, 0))
-    ranked = np.where(since % width == 0, own, np.iinfo(np.uint64).max)
-    windows = np.lib.stride_tricks.sliding_window_view(ranked, width)
-    places = np.unique(windows.argmin(axis=1) + index[: len(windows)])
+    windows = np.lib.stride_tricks.sliding_window_view(own, width)
+    chosen = windows.argmin(axis=1) + index[: len(windows)]
+    same = np.flatnonzero(since[width - 1 :] >= width - 1)
+    chosen[same] = same + (-since[same]) % width
+    places = np.unique(chosen)
     return places, own[places]
 
 
@@ -129,9 +139,11 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 CONTEXTS = "run long, after binary, before binary, row long, doc_id long, place long"
-MATCHES = "row long, doc_id long, start long, end long, partner long, edge boolean, " + CONTEXTS.replace(
-    "row long, doc_id long, place long", "place long"
+MATCHES = (
+    "row long, doc_id long, start long, end long, partner long, edge boolean, reach long, "
+    "run long, after binary, before binary, place long"
 )
+WINDOWS = "run long, window long, row long, doc_id long, start long"
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,11 +160,19 @@ def _bytes(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(joined.to_pylist()), np.uint8).reshape(-1, size)
 
 
-def _compare(table: pa.Table, known: int, last: bool, first: bool) -> pa.RecordBatch | None:
+def _words_in(context: np.ndarray) -> np.ndarray:
+    """How many words of the text each row of contexts has."""
+    return context.reshape(len(context), _REACH, WORD_BYTES).any(axis=2).sum(axis=1)
+
+
+def _compare(table: pa.Table, known: int, last: bool, first: bool, forward: bool) -> pa.RecordBatch | None:
     """Matches of the rows from ``known`` on with their neighbours of other documents.
 
-    The rows are sorted; earlier ones are context. Unless ``last``, the final document's rows
-    have to wait for what follows. Rows at either end of the part come back as edges.
+    The rows are sorted by the words after (``forward``) or before; earlier ones are context.
+    Unless ``last``, the final document's rows have to wait for what follows. Rows at either end
+    of the part come back as edges. Rows with a reach have the words that the nearest neighbour
+    shares on the sorted side; they are left out where it shares all words of the other side too,
+    as its match then covers whatever any other document could share.
     """
     n = table.num_rows
     run, row = (table.column(c).to_numpy() for c in ("run", "row"))
@@ -171,19 +191,24 @@ def _compare(table: pa.Table, known: int, last: bool, first: bool) -> pa.RecordB
         edge |= group == 0
     if last:
         edge |= group == group[-1]
-    parts = []
+    parts, nearest = [], np.zeros(n, np.int64)
+    room = _words_in(before if forward else after)
     for mate in (begin[group[index]] - 1, end[group[index]]):
         inside = (mate >= 0) & (mate < n)
         i, j = index[inside], mate[inside]
         same = run[i] == run[j]
         i, j = i[same], j[same]
         right, left = _common(after[i], after[j]), _common(before[i], before[j])
+        shared, other = (right, left) if forward else (left, right)
+        nearest[i] = np.maximum(nearest[i], 2 * shared + (other == room[i]))
         long = left + right + KGRAM >= MINIMUM
         i, j, left, right = i[long], j[long], left[long], right[long]
-        parts.append((i, place[i] - left, place[i] + KGRAM + right, j, np.zeros(len(i), bool)))
+        parts.append((i, place[i] - left, place[i] + KGRAM + right, j, np.zeros(len(i), bool), np.full(len(i), -1)))
     ends = index[edge[index]]
-    parts.append((ends, place[ends], place[ends], ends, np.ones(len(ends), bool)))
-    i, start, stop, j, edges = (np.concatenate(x) for x in zip(*parts))
+    parts.append((ends, place[ends], place[ends], ends, np.ones(len(ends), bool), np.full(len(ends), -1)))
+    unsure = index[(nearest[index] > 1) & (nearest[index] % 2 == 0)]
+    parts.append((unsure, place[unsure], place[unsure], unsure, np.zeros(len(unsure), bool), nearest[unsure] // 2))
+    i, start, stop, j, edges, reach = (np.concatenate(x) for x in zip(*parts))
     blank = pa.array(~edges)
 
     def kept(name: str) -> pa.Array:
@@ -198,48 +223,117 @@ def _compare(table: pa.Table, known: int, last: bool, first: bool) -> pa.RecordB
             pa.array(stop),
             ids.take(pa.array(j)).combine_chunks(),
             pa.array(edges),
-            kept("run"),
+            pa.array(reach, mask=reach < 0),
+            pa.array(run[i]),
             kept("after"),
             kept("before"),
             pa.array(place[i]),
         ],
-        names=["row", "doc_id", "start", "end", "partner", "edge", "run", "after", "before", "place"],
+        names=["row", "doc_id", "start", "end", "partner", "edge", "reach", "run", "after", "before", "place"],
     )
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: pa.Table | None = None
-    known, first = 0, True
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        if held.num_rows < 4096:
-            continue
-        out = _compare(held, known, False, first)
-        if out is not None:
-            yield out
-            # Go on from the last document's rows, with the one before them as context.
-            run, row = (held.column(c).to_numpy() for c in ("run", "row"))
-            change = np.flatnonzero((run[1:] != run[:-1]) | (row[1:] != row[:-1]))
-            at = int(change[-1])
-            held, known, first = held.slice(at), 1, False
-    if held is not None:
-        out = _compare(held, known, True, first)
-        if out is not None:
-            yield out
-
-
-def _sorted_matches(contexts: DataFrame, order: list[str], label: str) -> DataFrame:
-    """Matches between neighbours in the given order over the whole cluster."""
-    found = contexts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, MATCHES)
-    found = stored(found, label)
+def _neighbours(forward: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        known, first = 0, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if held.num_rows < 4096:
+                continue
+            out = _compare(held, known, False, first, forward)
+            if out is not None:
+                yield out
+                # Go on from the last document's rows, with the one before them as context.
+                own, row = (held.column(c).to_numpy() for c in ("run", "row"))
+                change = np.flatnonzero((own[1:] != own[:-1]) | (row[1:] != row[:-1]))
+                at = int(change[-1])
+                held, known, first = held.slice(at), 1, False
+        if held is not None:
+            out = _compare(held, known, True, first, forward)
+            if out is not None:
+                yield out
+
+    return run
+
+
+def _sorted_matches(contexts: DataFrame, forward: bool) -> tuple[DataFrame, DataFrame]:
+    """Matches between neighbours in one order over the whole cluster, and the reaches."""
+    order = ["run", *(("after", "before") if forward else ("before", "after")), "row", "place"]
+    compare = _neighbours(forward)
+    found = contexts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, MATCHES)
+    found = stored(found, "by-suffix" if forward else "by-prefix")
     # Rows at the ends of the sorted parts: a few for each part, whatever the input.
     edges = found.filter("edge").select("run", "after", "before", "row", "doc_id", "place").distinct()
-    across = edges.repartition(1).sortWithinPartitions(*order).mapInArrow(_neighbours, MATCHES)
-    columns = ["row", "doc_id", "start", "end", "partner"]
-    return found.filter("not edge").select(columns).union(across.filter("not edge").select(columns))
+    across = edges.repartition(1).sortWithinPartitions(*order).mapInArrow(compare, MATCHES)
+    both = found.filter("not edge").union(across.filter("not edge"))
+    reaches = both.filter("reach is not null").select("run", "row", "place", "reach")
+    return both.filter("reach is null").select("row", "doc_id", "start", "end", "partner"), reaches
+
+
+def _open_places(matches: DataFrame, after: DataFrame, before: DataFrame) -> DataFrame:
+    """run, row, place of the minimisers at which the matches may fall short of the reach."""
+    sides = after.withColumnRenamed("reach", "right").withColumn("left", F.lit(0).cast("long"))
+    sides = sides.unionByName(before.withColumnRenamed("reach", "left").withColumn("right", F.lit(0).cast("long")))
+    wide = sides.groupBy("run", "row", "place").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    wide = wide.filter(F.col("left") + F.col("right") + KGRAM >= MINIMUM).select(
+        "run", "row", "place", (F.col("place") - F.col("left")).alias("start"),
+        (F.col("place") + KGRAM + F.col("right")).alias("end"),
+    )
+    known = matches.select("row", "start", F.col("end").alias("to"))
+    met = wide.unionByName(known, allowMissingColumns=True)
+    # A match that starts no later and ends no earlier covers all there can be.
+    met = met.withColumn("covered", F.expr("max(to) over (partition by row order by start)"))
+    return met.filter("place is not null and coalesce(covered, -1) < end").select("run", "row", "place")
+
+
+def _prefix_hashes(context: np.ndarray, salt: int) -> np.ndarray:
+    """Hashes of the first 0, 1, ... words of each row of contexts."""
+    codes = context.reshape(len(context), _REACH, WORD_BYTES).astype(np.uint64)
+    value = sum(codes[:, :, k] << np.uint64(8 * k) for k in range(WORD_BYTES))
+    spot = (np.arange(1, _REACH + 1, dtype=np.uint64) + np.uint64(salt)) << np.uint64(8 * WORD_BYTES)
+    sums = np.cumsum(_mixed(value + spot), axis=1, dtype=np.uint64)
+    return np.concatenate([np.zeros((len(context), 1), np.uint64), sums], axis=1)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of MINIMUM words around each minimiser that lie inside the text."""
+    back = np.arange(_REACH + 1)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            table = pa.Table.from_batches([batch.slice(at, 4096)])
+            after, before = _bytes(table.column("after")), _bytes(table.column("before"))
+            inside = (back[None, :] <= _words_in(before)[:, None]) & (_REACH - back[None, :] <= _words_in(after)[:, None])
+            sums = _prefix_hashes(after, 0)[:, ::-1] + _prefix_hashes(before, MINIMUM)
+            row, m = np.nonzero(inside)
+            start = table.column("place").to_numpy()[row] - m
+            arrays = [table.column(c).combine_chunks().take(pa.array(row)) for c in ("run", "row", "doc_id")]
+            arrays = [arrays[0], pa.array(_mixed(sums[row, m]).view(np.int64)), *arrays[1:], pa.array(start)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["run", "window", "row", "doc_id", "start"])
+
+
+def _hidden_matches(contexts: DataFrame, places: DataFrame) -> DataFrame:
+    """Matches of the windows around open places with windows of any other document.
+
+    Windows are compared by the run's hash and 64 bits of their own. Only the open places get
+    matches; their partners may be any. Windows are reduced per hash before they are shuffled.
+    """
+    runs = stored(places.select("run").distinct(), "open-runs")
+    size = runs.count()
+    columns = ["run", "after", "before", "row", "doc_id", "place"]
+    runs = F.broadcast(runs) if size <= SENT_RUNS else runs
+    alike = stored(contexts.join(runs, "run", "left_semi").select(columns), "open-contexts")
+    least, most = F.min(F.struct("row", "doc_id")).alias("least"), F.max(F.struct("row", "doc_id")).alias("most")
+    shared = alike.mapInArrow(_windows, WINDOWS).groupBy("run", "window").agg(least, most)
+    shared = shared.filter("least.row != most.row")
+    own = alike.join(places, ["run", "row", "place"], "left_semi").select(columns).mapInArrow(_windows, WINDOWS)
+    partner = F.when(F.col("row") == F.col("least.row"), F.col("most.doc_id")).otherwise(F.col("least.doc_id"))
+    return own.join(shared, ["run", "window"]).select(
+        "row", "doc_id", "start", (F.col("start") + MINIMUM).alias("end"), partner.alias("partner")
+    )
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -247,7 +341,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     A stretch is a union of overlapping passages of MINIMUM words or more that occur in another
     document as well; words are numbered from 0, the end lies outside. ``partners`` are the
-    documents it was matched with (neighbours in the sorted order, not all that share it).
+    documents it was matched with (one at least for each passage, not all that share it).
     Null, empty and short texts have none. Rows that repeat both id and text count as one; rows
     with another id or without one are documents of their own. An empty table gives no rows.
     """
@@ -259,9 +353,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     chosen = runs.join(shared, "run").groupBy("row").agg(F.collect_set("place").alias("places"))
     contexts = rows.join(chosen, "row").select("doc_id", "row", "text", "places").mapInArrow(_contexts, CONTEXTS)
     contexts = stored(contexts, "contexts")
-    matches = _sorted_matches(contexts, ["run", "after", "before", "row", "place"], "by-suffix").union(
-        _sorted_matches(contexts, ["run", "before", "after", "row", "place"], "by-prefix")
-    )
+    forward, after = _sorted_matches(contexts, True)
+    backward, before = _sorted_matches(contexts, False)
+    matches = forward.union(backward)
+    matches = matches.union(_hidden_matches(contexts, stored(_open_places(matches, after, before), "open-places")))
     reach = "max(end) over (partition by row order by start, end rows between unbounded preceding and 1 preceding)"
     fresh = matches.withColumn("starts", (F.col("start") > F.coalesce(F.expr(reach), F.lit(-1))).cast("int"))
     number = "sum(starts) over (partition by row order by start, end, starts desc rows unbounded preceding)"
