@@ -702,6 +702,10 @@ def oracle_queries() -> dict[str, str]:
             "SELECT count(*) AS total, 2 AS page, 100 AS page_size, 200 < count(*) AS has_more "
             "FROM scored WHERE predicted_segment = 'High-CLV' AND predicted_clv >= 600"
         ),
+        "customers_late_page": _scored(
+            f"SELECT {VIEW} FROM scored ORDER BY predicted_clv DESC NULLS LAST, customer_id "
+            "LIMIT 100 OFFSET 900"
+        ),
         "customers_search": _scored(
             f"SELECT {VIEW} FROM scored WHERE lower(customer_id) LIKE '%ads%' "
             "OR lower(acquisition_source) LIKE '%ads%'"

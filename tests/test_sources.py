@@ -109,8 +109,7 @@ def test_stream_routing_equals_the_batch_split(spark, space, tmp_path):
     table.write.parquet(source)
     rows = customer_stream(spark, source, table.schema, files_per_batch=1)
     paths = [str(tmp_path / p) for p in ("valid", "bad", "state")]
-    for query in route_stream(rows, *paths):
-        query.awaitTermination()
+    route_stream(rows, *paths).awaitTermination()
     checked = with_violations(spark.read.parquet(source))
     bad = spark.read.parquet(paths[1]).select("customer_id", "violations")
     expected = checked.where(F.size("violations") > 0).select("customer_id", "violations")

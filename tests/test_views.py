@@ -78,6 +78,21 @@ def test_pages_cover_every_customer_once(scored):
     assert (page, seen) == (3, ["C001", "C003", "C005", "C002", "C004"])
 
 
+@pytest.mark.parametrize("descending", [True, False])
+@pytest.mark.parametrize("sort_by", ["value", "label", "customer_id"])
+def test_late_pages_equal_the_sorted_table(spark, sort_by, descending):
+    """Ties, missing values last, and pages within, at and behind the end."""
+    rows = [(f"C{i:02}", None if i % 7 == 0 else float(i % 4), "ab"[i % 2] if i % 5 else None) for i in range(30)]
+    table = spark.createDataFrame(rows, "customer_id string, value double, label string").cache()
+    want = ids(sort_customers(table, sort_by, descending))
+    for page in (2, 4, 7, 8):
+        got = customer_page(
+            table, page=page, page_size=4, sort_by=sort_by, descending=descending, shallow_rows=0
+        ).rows
+        assert ids(got) == want[4 * page - 4 : 4 * page], page
+    assert ids(customer_page(table, page=9, page_size=4, sort_by=sort_by, shallow_rows=0).rows) == []
+
+
 def test_page_size_is_clamped(scored):
     info = customer_page(scored, page=0, page_size=5000).info.first()
     assert (info.page, info.page_size, info.has_more) == (1, 1000, False)

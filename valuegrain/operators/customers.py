@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from valuegrain.errors import CustomerNotFound
 from valuegrain.operators.clean import present_gaps
+from valuegrain.operators.order_stats import order_statistics
 from valuegrain.schema import ID, MAX_PAGE_SIZE
 
+#: Rows before a page that are sorted along with it; for more, the page's first key is searched.
+SHALLOW_ROWS = 10_000
+
 
 def value_column(df: DataFrame) -> str | None:
     return next((c for c in ("predicted_clv", "actual_clv") if c in df.columns), None)
@@ -63,6 +67,34 @@ def page_bounds(page: int, page_size: int) -> tuple[int, int]:
     return page, page_size
 
 
+def rows_from(df: DataFrame, sort_by: str, descending: bool, skipped: int) -> DataFrame:
+    """The rows from a position of the sorted table on, unsorted.
+
+    Finds the value at that position and, among its ties, the id, by exact order statistics,
+    so no task holds the rows before it. Missing values come last; ids are unique.
+    """
+    column = F.col(sort_by)
+    present, total = df.agg(F.count(column), F.count(F.lit(1))).first()
+    if skipped >= total:
+        return df.limit(0)
+
+    def first_id(rows: DataFrame, rank: int, size: int):
+        return F.lit(order_statistics(rows, {ID: [rank]}, {ID: size})[ID][rank][0])
+
+    if skipped >= present:
+        gaps = df.where(column.isNull())
+        return gaps.where(F.col(ID) >= first_id(gaps, skipped - present, total - present))
+    rank = present - 1 - skipped if descending else skipped
+    value = F.lit(order_statistics(df, {sort_by: [rank]}, {sort_by: present})[sort_by][rank][0])
+    ahead, behind = column < value, column > value
+    if descending:
+        ahead, behind = behind, ahead
+    before, ties = df.agg(F.count_if(ahead), F.count_if(column == value)).first()
+    own = df.where(column == value)
+    start = first_id(own, skipped - before, ties)
+    return df.where(behind | column.isNull() | ((column == value) & (F.col(ID) >= start)))
+
+
 def customer_page(
     df: DataFrame,
     *,
@@ -70,17 +102,24 @@ def customer_page(
     page_size: int = 100,
     sort_by: str = "predicted_clv",
     descending: bool = True,
+    shallow_rows: int = SHALLOW_ROWS,
     **filters,
 ) -> Page:
     """One page of the filtered customers, and a row with the total and position.
 
-    A page of an unknown sort column is ordered by id so that it stays repeatable.
+    A page of an unknown sort column is ordered by id so that it stays repeatable. Beyond
+    ``shallow_rows`` the page starts from a searched key, so the sort holds one page only.
     """
     page, page_size = page_bounds(page, page_size)
     kept = filter_customers(df, **filters)
-    ordered = sort_customers(kept, sort_by if sort_by in kept.columns else ID, descending)
+    sort_by = sort_by if sort_by in kept.columns else ID
     skipped = (page - 1) * page_size
-    rows = present_gaps(ordered.offset(skipped).limit(page_size))
+    if skipped > shallow_rows:
+        late = rows_from(kept, sort_by, descending, skipped)
+        rows = sort_customers(late, sort_by, descending).limit(page_size)
+    else:
+        rows = sort_customers(kept, sort_by, descending).offset(skipped).limit(page_size)
+    rows = present_gaps(rows)
     info = kept.agg(F.count(F.lit(1)).alias("total")).select(
         "total",
         F.lit(page).alias("page"),
@@ -93,7 +132,7 @@ def customer_page(
 def find_customer(df: DataFrame, customer_id: str) -> DataFrame:
     """The row of one customer; the id filter reaches a stored table's scan."""
     found = df.where(F.col(ID) == customer_id)
-    if found.isEmpty():
+    if found.select(ID).isEmpty():
         raise CustomerNotFound(customer_id)
     return present_gaps(found)
 

@@ -274,6 +274,12 @@ def customers_page_info(spark, folder):
     return _page(spark, folder).info
 
 
+def customers_late_page(spark, folder):
+    """A page whose first key is searched, as it is for pages far into the table."""
+    scored = workspace(spark, folder).scored.select(*SHOWN)
+    return customers.customer_page(scored, page=10, page_size=100, shallow_rows=0).rows
+
+
 def customers_search(spark, folder):
     return customers.search_customers(workspace(spark, folder).scored.select(*SHOWN), "ADS")
 
@@ -557,8 +563,7 @@ def stream_routing(spark, folder):
     """Route a customer stream into valid and quarantined rows."""
     table = workspace(spark, folder).build(money_unit=1.0)
     path, rows = _stream_source(spark, folder, table)
-    for query in route_stream(rows, f"{path}/valid", f"{path}/bad", f"{path}/state"):
-        query.awaitTermination()
+    route_stream(rows, f"{path}/valid", f"{path}/bad", f"{path}/state").awaitTermination()
     valid = spark.read.parquet(f"{path}/valid").select(ID, F.lit("valid").alias("outcome"))
     bad = spark.read.parquet(f"{path}/bad").select(ID, F.lit("quarantine").alias("outcome"))
     return valid.unionByName(bad)
@@ -589,6 +594,7 @@ QUERIES: dict[str, Query] = {
     "feature_summary": feature_summary,
     "customers_page": customers_page,
     "customers_page_info": customers_page_info,
+    "customers_late_page": customers_late_page,
     "customers_search": customers_search,
     "customers_filtered": customers_filtered,
     "customer_lookup": customer_lookup,

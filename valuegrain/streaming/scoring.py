@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from valuegrain.operators.validate import quarantined_rows, valid_rows, with_violations
 from valuegrain.schema import CUSTOMER_SCHEMA
+from valuegrain.session import keep
 
 
 def customer_stream(
@@ -52,12 +53,26 @@ def score_stream(
 
 
 def route_stream(
-    rows: DataFrame, valid_path: str, quarantine_path: str, checkpoint: str, **options
-) -> tuple[StreamingQuery, StreamingQuery]:
-    """Valid rows to one sink, rows that break the contract to another."""
-    checked = with_violations(rows)
-    valid = write_stream(valid_rows(checked), valid_path, f"{checkpoint}/valid", **options)
-    quarantine = write_stream(
-        quarantined_rows(checked), quarantine_path, f"{checkpoint}/quarantine", **options
-    )
-    return valid, quarantine
+    rows: DataFrame,
+    valid_path: str,
+    quarantine_path: str,
+    checkpoint: str,
+    *,
+    continuous: bool = False,
+) -> StreamingQuery:
+    """Valid rows to one sink, rows that break the contract to another.
+
+    Each batch is read and checked once and split afterwards. Its files lie in a folder of the
+    batch's number in both sinks, which a repeated batch replaces.
+    """
+
+    def route(batch: DataFrame, number: int) -> None:
+        checked = keep(with_violations(batch))
+        for part, path in ((valid_rows, valid_path), (quarantined_rows, quarantine_path)):
+            part(checked).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        checked.unpersist()
+
+    writer = rows.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint)
+    if not continuous:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
