@@ -82,13 +82,7 @@ def _tail(column: str) -> str:
     )
 
 
-CLEAN = f"""
-filled AS (
-  SELECT * REPLACE (
-    coalesce(email_engagement_rate, (SELECT median(email_engagement_rate) FROM base))
-      AS email_engagement_rate,
-    coalesce(return_rate, (SELECT median(return_rate) FROM base)) AS return_rate)
-  FROM base),
+CLIPPED = f"""
 clean AS (
   SELECT * REPLACE (
     {_tail('total_spent')}, {_tail('avg_order_value')},
@@ -99,6 +93,51 @@ clean AS (
     least(greatest(return_rate, 0.0), 1.0) AS return_rate)
   FROM filled)"""
 
+CLEAN = f"""
+filled AS (
+  SELECT * REPLACE (
+    coalesce(email_engagement_rate, (SELECT median(email_engagement_rate) FROM base))
+      AS email_engagement_rate,
+    coalesce(return_rate, (SELECT median(return_rate) FROM base)) AS return_rate)
+  FROM base),
+{CLIPPED}"""
+
+NUMBER = "CAST(substr(customer_id, 6, 12) AS BIGINT)"
+GAPPED = f"""
+gapped AS (
+  SELECT * REPLACE (
+    CASE WHEN {NUMBER} % 7 <> 0 THEN acquisition_source END AS acquisition_source,
+    CASE WHEN {NUMBER} % 11 <> 0 THEN campaign_type END AS campaign_type,
+    CASE WHEN {NUMBER} % 13 <> 0 THEN total_spent END AS total_spent,
+    CASE WHEN {NUMBER} % 5 = 0 THEN 0.0::DOUBLE ELSE avg_order_value END AS avg_order_value,
+    CASE WHEN {NUMBER} % 17 = 0 THEN -days_since_last_purchase
+         ELSE days_since_last_purchase END AS days_since_last_purchase,
+    CASE WHEN {NUMBER} % 29 = 0 THEN -total_orders ELSE total_orders END AS total_orders,
+    CASE WHEN {NUMBER} % 19 = 0 THEN return_rate + 1.5::DOUBLE
+         ELSE return_rate END AS return_rate,
+    CASE WHEN {NUMBER} % 23 = 0 THEN email_engagement_rate - 1.5::DOUBLE
+         ELSE email_engagement_rate END AS email_engagement_rate)
+  FROM base)"""
+
+
+def _most_frequent(column: str) -> str:
+    return (
+        f"coalesce({column}, (SELECT {column} FROM gapped WHERE {column} IS NOT NULL "
+        f"GROUP BY {column} ORDER BY count(*) DESC, {column} LIMIT 1)) AS {column}"
+    )
+
+
+CLEAN_GAPPED = f"""
+filled AS (
+  SELECT * REPLACE (
+    {_most_frequent('acquisition_source')}, {_most_frequent('campaign_type')},
+    coalesce(total_spent, (SELECT median(total_spent) FROM gapped)) AS total_spent,
+    coalesce(email_engagement_rate, (SELECT median(email_engagement_rate) FROM gapped))
+      AS email_engagement_rate,
+    coalesce(return_rate, (SELECT median(return_rate) FROM gapped)) AS return_rate)
+  FROM gapped),
+{CLIPPED}"""
+
 STATS = """
 st AS (
   SELECT count(*) AS n, max(days_since_last_purchase) AS max_r, max(total_orders) AS max_f,
@@ -624,6 +663,32 @@ def oracle_queries() -> dict[str, str]:
         "customers_csv_round_trip": _with(f"{_shown()} FROM base", BASE),
         "clean_customers": _with(f"{_shown(', ' + lively)} FROM clean", BASE, CLEAN),
         "contract_customers": _with(f"{_shown(contract)} FROM base", BASE),
+        "clean_with_gaps": _with(
+            _shown(", " + _round("email_engagement_rate return_rate"))
+            + " FROM clean",
+            BASE,
+            GAPPED,
+            CLEAN_GAPPED,
+        ),
+        "contract_with_gaps": _with(
+            _shown(
+                ", coalesce(acquisition_source, 'Direct') AS acquisition_source, "
+                "coalesce(campaign_type, 'None') AS campaign_type, "
+                "coalesce(email_engagement_rate, 0.0) AS email_engagement_rate, "
+                "coalesce(return_rate, 0.0) AS return_rate, "
+                "CASE WHEN avg_order_value = 0 AND total_orders > 0 "
+                "THEN total_spent / total_orders ELSE avg_order_value END AS avg_order_value"
+            )
+            + " FROM gapped",
+            BASE,
+            GAPPED,
+        ),
+        "gaps_presented": _with(
+            "SELECT customer_id, coalesce(acquisition_source, 'None') AS acquisition_source, "
+            "coalesce(campaign_type, 'None') AS campaign_type FROM gapped",
+            BASE,
+            GAPPED,
+        ),
         "quality_overview": _with(
             f"SELECT count(*) AS total_records, {len(COLUMNS)} AS total_columns, "
             "count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM base)) AS duplicates "

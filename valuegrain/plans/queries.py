@@ -18,7 +18,7 @@ from valuegrain.functions.scoring import (
 from valuegrain.operators import audience, catalogue, customers, dashboard, evaluate, quality
 from valuegrain.operators.boosting import BoostedModel
 from valuegrain.operators.calendar import HOLIDAYS
-from valuegrain.operators.clean import present_gaps
+from valuegrain.operators.clean import fit_cleaning, present_gaps
 from valuegrain.operators.encode import fit_encoder
 from valuegrain.operators.ensemble import inverse_error_weights, weighted_mean
 from valuegrain.operators.profile import STATISTICAL_COLUMNS
@@ -97,6 +97,46 @@ def contract_customers(spark, folder):
     return portable(present_gaps(apply_contract(workspace(spark, folder).customers)))
 
 
+def _with_gaps(spark, folder):
+    """The customer table with gaps and values out of range, by the number in the id."""
+    number = F.substring(ID, 6, 12).cast("long")
+
+    def hit(every: int, changed, name: str):
+        return F.when(number % every == 0, changed).otherwise(F.col(name))
+
+    gap = F.lit(None)
+    changes = {
+        "acquisition_source": (7, gap),
+        "campaign_type": (11, gap),
+        "total_spent": (13, gap),
+        "avg_order_value": (5, F.lit(0.0)),
+        "days_since_last_purchase": (17, -F.col("days_since_last_purchase")),
+        "total_orders": (29, -F.col("total_orders")),
+        "return_rate": (19, F.col("return_rate") + 1.5),
+        "email_engagement_rate": (23, F.col("email_engagement_rate") - 1.5),
+    }
+    customers_table = workspace(spark, folder).customers
+    return customers_table.withColumns({c: hit(*how, c) for c, how in changes.items()})
+
+
+def clean_with_gaps(spark, folder):
+    """Cleaning of missing texts and amounts, negative counts and rates out of range."""
+    table = _with_gaps(spark, folder)
+    cleaned = portable(fit_cleaning(table).apply(table))
+    return rounded(cleaned, "email_engagement_rate", "return_rate")
+
+
+def contract_with_gaps(spark, folder):
+    """Contract defaults for gaps, and order values of zero derived anew."""
+    return portable(apply_contract(_with_gaps(spark, folder)))
+
+
+def gaps_presented(spark, folder):
+    """Missing sources and campaigns as views show them."""
+    shown = present_gaps(_with_gaps(spark, folder))
+    return shown.select(ID, "acquisition_source", "campaign_type")
+
+
 def quality_overview(spark, folder):
     return quality.quality_overview(workspace(spark, folder).customers)
 
@@ -575,6 +615,9 @@ QUERIES: dict[str, Query] = {
     "customers_csv_round_trip": customers_csv_round_trip,
     "clean_customers": clean_customers,
     "contract_customers": contract_customers,
+    "clean_with_gaps": clean_with_gaps,
+    "contract_with_gaps": contract_with_gaps,
+    "gaps_presented": gaps_presented,
     "quality_overview": quality_overview,
     "quality_missing": quality_missing,
     "quality_numeric": quality_numeric,
