@@ -142,3 +142,21 @@ def test_articles_of_all_pages(spark):
         assert r.text == " ".join(unescape(re.sub(r"<[^>]*>", " ", article)).split())
         assert r.n_chars == len(r.text)
     assert html_text.extract_text(pages.limit(0)).collect() == []
+
+SENTENCE = "A sentence of the article, with commas, and more words to it. "
+
+
+@pytest.mark.parametrize("paragraphs", [1, 3, 40])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_headings_and_leads_stay_at_any_length(tag, paragraphs):
+    body = f"<p>{SENTENCE * 8}</p>" * paragraphs
+    html = f"<body><{tag}><h1>Title</h1><p class=lead>Lead.</p><div class=body>{body}</div><div class=end>End.</div></{tag}></body>"
+    assert html_text.main_text(html) == " ".join(f"Title Lead. {SENTENCE * 8 * paragraphs} End.".split())
+
+
+def test_split_bodies_and_long_teasers():
+    body = f"<p>{SENTENCE * 8}</p>"
+    parts = f"<body><div><div class=one>{body * 23}</div><div class=two>{body}<p>{SENTENCE * 8}Last.</p></div></div></body>"
+    assert html_text.main_text(parts).endswith("Last.")
+    teaser = f"<body><div class=text>{body * 5}</div><article><p>{SENTENCE * 8}</p></article></body>"
+    assert len(html_text.main_text(teaser)) > 5 * 8 * len(SENTENCE.strip())

@@ -3,15 +3,16 @@
 Each text node has the path of tags (with class and id) from the root to its leaf. Text length
 and punctuation are added up per path; their ratios to the number of nodes are smoothed along the
 page, fused into one score, and paths above a threshold hold content. The page's text is
-what lies in the container around the content paths, without parts that tags or names mark as
+what lies in the element around all content paths, without parts that tags or names mark as
 menus, adverts and the like.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import numpy as np
@@ -22,8 +23,6 @@ from valuegrain.llm.tables import only
 
 #: Paths with this share of the page's mean score hold content.
 THRESHOLD = 0.5
-#: The container has this share of the content paths' text.
-COVERED = 0.9
 #: Weights of neighbours in page order.
 SMOOTHING = (0.25, 0.5, 0.25)
 
@@ -166,28 +165,68 @@ def _scores(nodes: list[tuple[tuple, bool, str]]) -> dict[tuple, float]:
     return {p: total[p] / count[p] for p in total}
 
 
-def _container(nodes: list[tuple[tuple, bool, str]]) -> tuple:
-    """The deepest element with most of the text on paths whose score passes the threshold."""
+def _tag(step: str) -> str:
+    return step.split(" ")[0]
+
+
+def _above(paths: Iterable[tuple]) -> tuple:
+    """The lowest common ancestor of the paths."""
+    return tuple(os.path.commonprefix(list(paths)))
+
+
+def _element(path: tuple) -> tuple:
+    """The outermost article of the path, else its main element; empty if it has neither."""
+    for tag in ("article", "main"):
+        for depth, step in enumerate(path, 1):
+            if _tag(step) == tag:
+                return path[:depth]
+    return ()
+
+
+def _block(path: tuple) -> tuple:
+    """The path without the inline elements and paragraphs at its end, which are leaves of content."""
+    while path and _tag(path[-1]) in _LEAVES:
+        path = path[:-1]
+    return path
+
+
+def _container(nodes: list[tuple[tuple, bool, str]]) -> tuple[tuple, set[int]]:
+    """The element around all content paths, and the numbers of the nodes in front of it that belong to it.
+
+    Articles and main elements stand for the paths in them if they hold most of the content. Else the
+    element grows to the ones around it, below body, as long as they add more text than links. If
+    it has no h1, the text from the h1 before it belongs to it as well.
+    """
     scores = _scores(nodes)
-    length = defaultdict(int)
+    length, links = defaultdict(int), defaultdict(int)
     for path, linked, text in nodes:
-        length[path] += 0 if linked else len(text)
+        (links if linked else length)[path] += len(text)
     total = sum(length.values())
     mean = sum(scores[p] * n for p, n in length.items()) / total if total else 0
     content = {p: n for p, n in length.items() if n and scores[p] >= THRESHOLD * mean}
-    inside = [p for p in content if any(s.split(" ")[0] in ("article", "main") for s in p)]
-    if inside:
-        content = {p: content[p] for p in inside}
-    weight = defaultdict(int)
-    for path, n in content.items():
-        # Inline elements and paragraphs are leaves of content, not its container.
-        for depth in range(len(path) + 1):
-            if depth == 0 or path[depth - 1].split(" ")[0] not in _LEAVES:
-                weight[path[:depth]] += n
-    needed = COVERED * sum(content.values())
-    return max((p for p, n in weight.items() if n >= needed), key=len, default=())
+    inside = {p: n for p, n in content.items() if _element(p)}
+    within = 2 * sum(inside.values()) > sum(content.values())
+    around = _block(_above(map(_element, inside) if within else map(_block, content)))
+    if not within:
+        while len(around) > 1 and _tag(around[-1]) not in _ROOTS and _tag(around[-2]) not in _ROOTS:
+            added = [p for p in {*length, *links} if p[: len(around) - 1] == around[:-1] and p[: len(around)] != around]
+            if sum(links[p] for p in added) > sum(length[p] for p in added):
+                break
+            around = around[:-1]
+    size = len(around)
+    held = [k for k, (p, _, _) in enumerate(nodes) if p[:size] == around]
+    title = lambda p: any(_tag(s) == "h1" for s in p)
+    before: set[int] = set()
+    if held and not any(title(nodes[k][0]) for k in held):
+        # The heading of an article lies in the same main element.
+        scope = next((around[:d] for d, s in enumerate(around, 1) if _tag(s) == "main"), None if within else ())
+        heads = [k for k in range(held[0]) if title(nodes[k][0]) and scope is not None and nodes[k][0][: len(scope)] == scope]
+        if heads:
+            before = {k for k in range(heads[-1], held[0]) if k == heads[-1] or not nodes[k][1]}
+    return around, before
 
 
+_ROOTS = ("", "html", "body", "main")
 _LEAVES = frozenset(
     "p a b i u s em strong span font small big sub sup code pre q cite abbr mark time del ins label blockquote li ul ol "
     "dl dt dd h1 h2 h3 h4 h5 h6 table thead tbody tfoot tr td th figure figcaption center tt kbd samp var address header "
@@ -210,15 +249,18 @@ def main_text(html: str | None) -> str:
                 nodes.append((path, linked, text))
     if not nodes:
         return ""
-    container = _container(nodes)
-    size, out, run = len(container), [], []
+    container, before = _container(nodes)
+    size, out, run, number = len(container), [], [], -1
     for entry in [*blocks, None]:
         if entry is None:
             if run:
                 out.append(" ".join("".join(run).split()))
                 run = []
-        elif entry[0][:size] == container:
-            run.append(entry[1])
+            continue
+        path, text = entry
+        number += bool(text) and not text.isspace()
+        if path[:size] == container or number in before:
+            run.append(text)
     return " ".join(b for b in out if b)
 
 
