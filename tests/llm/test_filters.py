@@ -160,3 +160,23 @@ def test_split_bodies_and_long_teasers():
     assert html_text.main_text(parts).endswith("Last.")
     teaser = f"<body><div class=text>{body * 5}</div><article><p>{SENTENCE * 8}</p></article></body>"
     assert len(html_text.main_text(teaser)) > 5 * 8 * len(SENTENCE.strip())
+
+
+LAYOUTS = ["post type-post comments-open", "content no-sidebar", "container with-sidebar", "site header-fixed", "product-review", "review"]
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layout_classes_drop_no_article(name):
+    inside = f"<h1>Title</h1><p>{SENTENCE * 4}</p>"
+    want = f"Title {SENTENCE * 4}".strip()
+    for html in (f"<div class='{name}'><article>{inside}</article></div>", f"<article class='{name}'>{inside}</article>",
+                 f"<div class='{name}'><div>{inside}</div></div>"):
+        assert html_text.main_text(f"<body>{html}</body>") == want
+
+
+@pytest.mark.parametrize("name", ["cookie-notice", "siteHeader", "left-sidebar", "comments-area", "comment-list", "related-posts", "ad"])
+def test_named_surroundings_still_go(name):
+    around = f"<div class='{name}'><p>Around. {SENTENCE * 2}</p></div>"
+    assert "Around" not in html_text.main_text(f"<body><div><h1>Title</h1><p>{SENTENCE * 4}</p>{around}</div></body>")
+    if "comment" in name:
+        assert "Around" not in html_text.main_text(f"<body><article><p>{SENTENCE * 4}</p>{around * 9}</article></body>")

@@ -4,7 +4,7 @@ Each text node has the path of tags (with class and id) from the root to its lea
 and punctuation are added up per path; their ratios to the number of nodes are smoothed along the
 page, fused into one score, and paths above a threshold hold content. The page's text is
 what lies in the element around all content paths, without parts that tags or names mark as
-menus, adverts and the like.
+menus, adverts and the like; names don't count on an element that holds most of the page's text.
 """
 
 from __future__ import annotations
@@ -55,14 +55,22 @@ CLOSES = {
 }
 #: Elements beyond which an opening tag ends nothing.
 SCOPES = frozenset("ul ol dl table td th div article section main body blockquote select".split())
-# Words in class, id and role that mark parts around an article.
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|banners?|sponsor(?:ed)?|promo(?:tion)?s?|menus?|nav|navbar|navigation|"
+# Words in class, id and role that mark parts around an article; users' comments are never its text.
+_COMMENTS = r"(?:comments?|commentlist|disqus|replies)"
+_WORDS = (
+    r"(?:ads?|adverts?|advertisements?|adsense|banners?|sponsor(?:ed)?|promo(?:tion)?s?|menus?|nav|navbar|navigation|"
     r"breadcrumbs?|header|masthead|footer|sidebars?|aside|widgets?|cookies?|consent|gdpr|notices?|popups?|modal|overlay|"
-    r"newsletter|subscribe|subscription|comments?|commentlist|disqus|replies|reviews?|related|recommended|share|sharing|social|"
-    r"login|signup|search|pagination|pager|toolbar|complementary|contentinfo|dialog|skip|disclaimer|alerts?)(?:$|[\s_-])",
-    re.IGNORECASE,
+    r"newsletter|subscribe|subscription|reviews?|related|recommended|share|sharing|social|"
+    r"login|signup|search|pagination|pager|toolbar|complementary|contentinfo|dialog|skip|disclaimer|alerts?)"
 )
+# A name counts as a whole: no-sidebar, header-fixed and comments-open say how an element looks, not what it is.
+_BEFORE = r"(?:(?:site|global|top|bottom|left|right|main|primary|secondary|mobile)[_-])*"
+_AFTER = (
+    r"(?:[_-](?:{}|area|bar|list|container|wrapper|wrap|inner|box|block|section|items?|links?|buttons?|icons?|form|body|posts?|"
+    r"left|right|top|bottom|main|primary|secondary|\d+))*$"
+)
+NAMED = re.compile(rf"^{_BEFORE}{_WORDS}{_AFTER.format(f'{_WORDS}|{_COMMENTS}')}", re.IGNORECASE)
+COMMENTS = re.compile(rf"^{_BEFORE}{_COMMENTS}{_AFTER.format(f'{_WORDS}|{_COMMENTS}')}", re.IGNORECASE)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _MARKUP = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/](?![A-Za-z])[^>]*(?:>|\Z)|<![^>]*(?:>|\Z)|"
@@ -73,31 +81,67 @@ _ATTRS = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、؟¿¡\"“”«»()-]")
 
 
+class _Mark:
+    """An element whose names mark it as surroundings, among them users' comments."""
+
+    __slots__ = ("comments",)
+
+    def __init__(self, comments: bool):
+        self.comments = comments
+
+
 class _Node:
-    """An open element: its tag, the path down to it, and whether its text is dropped."""
+    """An open element: its tag, the path down to it, whether its text is dropped, and the marks around it."""
 
-    __slots__ = ("tag", "path", "dropped", "linked")
+    __slots__ = ("tag", "path", "dropped", "linked", "marks")
 
-    def __init__(self, tag: str, path: tuple, dropped: bool, linked: bool):
-        self.tag, self.path, self.dropped, self.linked = tag, path, dropped, linked
+    def __init__(self, tag: str, path: tuple, dropped: bool, linked: bool, marks: tuple = ()):
+        self.tag, self.path, self.dropped, self.linked, self.marks = tag, path, dropped, linked, marks
 
 
-def _named(tag: str, attrs: str) -> tuple[str, bool]:
-    """The element's step in a path, and whether its names mark it as surroundings."""
-    step, dropped = tag, False
+def _named(tag: str, attrs: str) -> tuple[str, bool, _Mark | None]:
+    """The element's step in a path, whether it is hidden, and its mark if its names mark it as surroundings."""
+    step, hidden, named, comments = tag, False, False, False
     if attrs and ("=" in attrs or "hidden" in attrs):
         for key, a, b, c in _ATTRS.findall(attrs):
             value, key = a or b or c, key.lower()
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                dropped = True
+                hidden = True
             elif value:
                 step += f" {value}"
-                dropped = dropped or bool(NAMED.search(_CAMEL.sub("-", value)))
-    return step, dropped and tag not in ("html", "body", "main")
+                for name in _CAMEL.sub("-", value).split():
+                    named = named or bool(NAMED.search(name))
+                    comments = comments or bool(COMMENTS.search(name))
+    if tag in ("html", "body", "main"):
+        return step, False, None
+    return step, hidden, _Mark(comments) if named or comments else None
+
 
+def _surroundings(texts: list[tuple[tuple, bool, tuple, str]]) -> set[_Mark]:
+    """The marks that count, from (path, linked, marks, text) of the text nodes.
 
-def text_nodes(html: str) -> Iterator[tuple[tuple, bool, bool, str]]:
-    """(path, dropped, linked, text) of each text node; text None where a block begins or ends."""
+    A mark doesn't count on an element that holds most of the page's own text: that of its articles and
+    main elements if they have any, comments left out. Without such text comments are the page's text.
+    """
+    own, articles, marked = 0, 0, set()
+    held: dict[_Mark, list[int]] = defaultdict(lambda: [0, 0])
+    for path, linked, marks, text in texts:
+        marked.update(marks)
+        if linked or any(m.comments for m in marks):
+            continue
+        n = len(text.strip())
+        inside = n if any(_tag(s) in ("article", "main") for s in path) else 0
+        own, articles = own + n, articles + inside
+        for m in marks:
+            held[m][0] += n
+            held[m][1] += inside
+    if not own:
+        return {m for m in marked if not m.comments}
+    return {m for m in marked if 2 * held[m][articles > 0] <= (articles or own)}
+
+
+def text_nodes(html: str) -> Iterator[tuple[tuple, bool, bool, tuple, str]]:
+    """(path, dropped, linked, marks, text) of each text node; text None where a block begins or ends."""
     stack = [_Node("", (), False, False)]
     at, skip = 0, ""
     position = 0
@@ -112,7 +156,7 @@ def text_nodes(html: str) -> Iterator[tuple[tuple, bool, bool, str]]:
         to = m.start() if m else len(html)
         if to > at:
             top = stack[-1]
-            yield top.path, top.dropped, top.linked, html[at:to]
+            yield top.path, top.dropped, top.linked, top.marks, html[at:to]
         if not m:
             return
         at = position = m.end()
@@ -120,7 +164,7 @@ def text_nodes(html: str) -> Iterator[tuple[tuple, bool, bool, str]]:
             continue
         tag = m["tag"].lower()
         if tag in BLOCKS:
-            yield (), False, False, None
+            yield (), False, False, (), None
         if m["end"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
@@ -137,11 +181,12 @@ def text_nodes(html: str) -> Iterator[tuple[tuple, bool, bool, str]]:
         if tag in VOID:
             continue
         top = stack[-1]
-        step, named = _named(tag, m["attrs"])
+        step, hidden, mark = _named(tag, m["attrs"])
         # The header of an article is its heading; that of a page is not.
         mild = tag == "header" and any(s.split(" ")[0] in ("article", "main") for s in top.path)
-        dropped = top.dropped or named or (tag in DROPPED and not mild)
-        stack.append(_Node(tag, (*top.path, step), dropped, top.linked or tag == "a"))
+        dropped = top.dropped or hidden or (tag in DROPPED and not mild)
+        marks = (*top.marks, mark) if mark else top.marks
+        stack.append(_Node(tag, (*top.path, step), dropped, top.linked or tag == "a", marks))
         if tag in RAW and not m["attrs"].rstrip().endswith("/"):
             skip = tag
 
@@ -239,11 +284,12 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     blocks, nodes = [], []
-    for path, dropped, linked, text in text_nodes(html):
+    found = [(p, linked, marks, t if t is None else unescape(t)) for p, out, linked, marks, t in text_nodes(html) if not out]
+    dropped = _surroundings([f for f in found if f[3]]) if any(f[2] for f in found) else set()
+    for path, linked, marks, text in found:
         if text is None:
             blocks.append(None)
-        elif not dropped:
-            text = unescape(text)
+        elif dropped.isdisjoint(marks):
             blocks.append((path, text))
             if text and not text.isspace():
                 nodes.append((path, linked, text))
