@@ -29,6 +29,15 @@ def test_quality_keeps_clean_documents_and_drops_junk(spark):
     assert counts[1][0] >= 0.995 * counts[1][1] and counts[0][0] <= 0.1 * counts[0][1]
 
 
+def test_all_good_labels_make_the_trusted_counts(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LABELLED", 20)
+    docs = spark.createDataFrame([(i, f"only{i} " * 3) for i in range(400)] + [(None, "only0"), (None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 200)) for i in range(400)], "doc_id long, quality int")
+    model = quality.fit_quality(docs, labels)
+    above = {r.doc_id for r in quality.judge(docs, model).filter("score > 0").collect()}
+    assert len(above & set(range(200))) > 180 and len(above & set(range(200, 400))) < 20
+
+
 def test_quality_without_labels_or_rows(spark, docs, no_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality.fit_quality(docs, labels)
