@@ -122,6 +122,19 @@ def test_trees_find_held_out_urls(spark):
     assert right > 0.98 and all_ > 300 and bad > 5
 
 
+def test_every_site_outside_the_sample_has_statistics(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "LABELLED", 100)
+    urls = [(f"http://{'casino' if i % 2 else 'www'}.s{i}.com/{k}",) for i in range(500) for k in range(4)]
+    pages = spark.createDataFrame(urls * 2, "url string")
+    model = url_filter.fit_trees(url_filter.word_labels(pages))
+    assert model.sites.count() == 500
+    total = model.suffixes.select(F.round(F.expm1("suffix_count"))).collect()
+    assert len(total) == 1 and 1900 <= total[0][0] < 2000
+    scored = model.blocked(url_filter.lexical(pages))
+    assert scored.count() == 4000
+    assert scored.filter((F.col("site_rate") > 0.5) != F.col("host").startswith("casino")).count() == 0
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><a href="/">Home</a></nav><div id="cookieNotice">We use cookies, a lot, really.</div>
 <div class="wrap"><aside><p>Around, and around.</p></aside><div id="content"><h1>Title &amp; more</h1>

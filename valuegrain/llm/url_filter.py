@@ -11,7 +11,7 @@ from valuegrain.llm.tables import let, only, stored
 
 #: Rules of the query: host suffix and path prefix, and what they say.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Labelled URLs that train the trees at most, the first by hash.
+#: Labelled URLs of which half train the trees, the first by hash.
 LABELLED = 20_000
 #: Partitions of the training rows, whose number LABELLED bounds.
 TRAINING_PARTS = 4
@@ -115,41 +115,42 @@ class UrlModel:
         """The rows of ``lexical`` with ``blocked``, a boolean."""
         if self.trees is None:
             return rows.withColumn("blocked", F.lit(False))
-        # At most LABELLED rows each, as they come from at most as many URLs.
-        full = rows.join(F.broadcast(self.suffixes), "suffix", "left").join(F.broadcast(self.sites), "site", "left")
+        # The statistics grow with the input, so they may only be sent to every task where they turn out small.
+        full = rows.join(self.suffixes, "suffix", "left").join(self.sites, "site", "left")
         full = full.fillna(0.5, ["suffix_rate", "site_rate"]).fillna(0, ["suffix_count", "site_count"])
         assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(full)
         scored = self.trees.transform(assembled)
         return scored.withColumn("blocked", F.col("prediction") > 0.5)
 
 
-def _statistics(labelled: DataFrame, key: str) -> DataFrame:
-    rate = (F.sum("label") + 0.5) / (F.count("*") + 1)
-    return labelled.groupBy(key).agg(rate.alias(f"{key}_rate"), F.log1p(F.count("*")).alias(f"{key}_count"))
+def _statistics(counts: DataFrame, key: str) -> DataFrame:
+    """Rate and count of each key, from the sums of labels and the numbers n of URLs."""
+    rate = (F.sum("label") + 0.5) / (F.sum("n") + 1)
+    return counts.groupBy(key).agg(rate.alias(f"{key}_rate"), F.log1p(F.sum("n")).alias(f"{key}_count"))
 
 
 def fit_trees(labelled: DataFrame) -> UrlModel:
-    """Train on up to LABELLED distinct URLs (url, label), chosen by hash so that reruns agree.
+    """Train on half of up to LABELLED distinct URLs (url, label), chosen by hash so that reruns agree.
 
-    Half of them make the suffix statistics, the other half the trees, so that the trees see
-    statistics as they meet them later. With one class or none only, nothing is blocked.
+    All other distinct URLs make the suffix statistics, so that the trees see statistics as they
+    meet them later. With one class or none only, nothing is blocked.
     """
-    chosen = (
-        labelled.filter("url is not null and label is not null")
-        .groupBy("url")
-        .agg(F.max("label").alias("label"))
-        .orderBy(F.xxhash64("url"), "url")
-        .limit(LABELLED)
-    )
+    distinct = labelled.filter("url is not null and label is not null").groupBy("url").agg(F.max("label").alias("label"))
+    distinct = stored(distinct, "distinct-urls")
+    chosen = distinct.orderBy(F.xxhash64("url"), "url").limit(LABELLED).filter(F.pmod(F.hash("url"), F.lit(2)) == 1)
     rows = stored(lexical(chosen).coalesce(TRAINING_PARTS), "labelled-urls")
-    half = F.pmod(F.hash("url"), F.lit(2))
-    suffixes = stored(_statistics(rows.filter(half == 0), "suffix"), "suffixes")
-    sites = stored(_statistics(rows.filter(half == 0), "site"), "sites")
+    # At most LABELLED URLs are left out.
+    others = distinct.join(F.broadcast(rows.select("url")), "url", "left_anti")
+    site, suffix = (F.substring_index(host_of(F.col("url")), ".", -k) for k in (3, 1))
+    counts = others.groupBy(site.alias("site"), suffix.alias("suffix")).agg(F.sum("label").alias("label"), F.count("*").alias("n"))
+    counts = stored(counts, "url-counts")
+    suffixes = stored(_statistics(counts, "suffix"), "suffixes")
+    sites = stored(_statistics(counts, "site"), "sites")
     model = UrlModel(None, suffixes, sites)
-    kinds = rows.filter(half == 1).agg(F.min("label"), F.max("label")).first()
+    kinds = rows.agg(F.min("label"), F.max("label")).first()
     if kinds[0] is None or kinds[0] == kinds[1]:
         return model
-    full = rows.filter(half == 1).join(F.broadcast(suffixes), "suffix", "left").join(F.broadcast(sites), "site", "left")
+    full = rows.join(suffixes, "suffix", "left").join(sites, "site", "left")
     full = full.fillna(0.5, ["suffix_rate", "site_rate"]).fillna(0, ["suffix_count", "site_count"])
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(full).select("features", "label")
     ready = ready.coalesce(TRAINING_PARTS).persist()
