@@ -73,4 +73,63 @@ WITH vectors AS (
 SELECT * FROM ranked WHERE rank <= 10
 """
 
+_INFILL = """
+WITH seeds AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s
+  FROM documents
+), numbers AS (
+  SELECT *, ('0x' || substr(s, 1, 8))::BIGINT AS h1, ('0x' || substr(s, 9, 8))::BIGINT AS h2,
+         ('0x' || substr(s, 17, 8))::BIGINT AS h3, ('0x' || substr(s, 25, 8))::BIGINT AS h4
+  FROM seeds
+), cuts AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers
+), parts AS (
+  SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM cuts
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
+
+_LEXICAL = """
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), counts AS (
+  SELECT r, any_value(doc_id) AS doc_id, term, count(*)::BIGINT AS tf FROM words GROUP BY r, term
+), sizes AS (
+  SELECT r, sum(tf)::BIGINT AS n FROM counts GROUP BY r
+), totals AS (
+  SELECT count(*)::BIGINT AS all_docs, sum(n)::BIGINT AS all_terms FROM sizes
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * all_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM counts, totals GROUP BY term, all_docs
+), wanted AS (
+  SELECT i, item_id, term, count(*)::BIGINT AS repeats FROM (
+    SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY i, item_id, term
+), scores AS (
+  SELECT i, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id,
+         sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * all_docs) // all_terms))))::BIGINT AS score
+  FROM wanted JOIN counts USING (term) JOIN weights USING (term) JOIN sizes USING (r), totals
+  GROUP BY i, r
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+  FROM scores WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
 ORACLES = {"op1_extendible_shards": _SHARDS, "op8_mixing": _MIX, "op9_top_products": _TOP}
+ORACLES |= {"op11_infill": _INFILL, "op13_lexical_search": _LEXICAL}

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valuegrain.llm import html_text, mixing, packing, pii, quality, sharding, simhash, suffix_dedup, topk, url_filter
+from valuegrain.llm import (
+    html_text,
+    infill,
+    lexical,
+    mixing,
+    packing,
+    pii,
+    quality,
+    sharding,
+    simhash,
+    suffix_dedup,
+    topk,
+    url_filter,
+    word_bpe,
+)
 from valuegrain.llm.oracles import ORACLES
 from valuegrain.llm.tables import read_table
 
@@ -57,6 +71,24 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_infill(spark: SparkSession, folder: str) -> DataFrame:
+    arranged = infill.arrange(read_table(spark, folder, "documents"))
+    kept = ("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256")
+    return infill.restore(arranged, kept).drop("restored")
+
+
+def op12_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = word_bpe.encode(read_table(spark, folder, "documents"))
+    # The digest of the ids travels with the row's key while its ids are decoded.
+    key = F.struct("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256")).alias("doc_id")
+    decoded = word_bpe.decode(encoded.select(key, "ids"))
+    return decoded.select("doc_id.*", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     name: function
     for name, function in list(globals().items())
