@@ -14,7 +14,9 @@ from valuegrain.llm import infill, lexical, word_bpe, wordcodes
 from valuegrain.llm.queries import op11_infill, op12_word_bpe
 
 SF = "/root/testdata/sf0.001"
-HARD = st.text(st.sampled_from(list("aZé漢́ \n\t\x0b\x1c\x85  'sµ<|>09.") + ["<|endoftext|>", "<P>", "<S>"]), max_size=40)
+MARKS = ["<|endoftext|>", "<P>", "<S>", "<M>"]
+SIGNS = [*"aZé漢\u0301 \n\t\x0b\x1c\x85\u00a0\u2003 'sµ<|>09.", *MARKS]
+HARD = st.lists(st.sampled_from(SIGNS), max_size=40).map("".join)
 
 
 def sha(text):
