@@ -79,10 +79,9 @@ def op11_infill(spark: SparkSession, folder: str) -> DataFrame:
 
 def op12_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
     encoded = word_bpe.encode(read_table(spark, folder, "documents"))
-    # The digest of the ids travels with the row's key while its ids are decoded.
-    key = F.struct("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256")).alias("doc_id")
-    decoded = word_bpe.decode(encoded.select(key, "ids"))
-    return decoded.select("doc_id.*", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    encoded = encoded.withColumn("ids_sha256", F.sha2("ids", 256))
+    decoded = word_bpe.decode(encoded, ("doc_id", "n_tokens", "ids_sha256"))
+    return decoded.withColumn("decoded_sha256", F.sha2(F.col("text").cast("binary"), 256)).drop("text")
 
 
 def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,13 +1,17 @@
-"""Replacing every item of many sequences through a table of distinct items.
-
-Sequences (the words of a text, the ids of a document) are gathered into blocks. A block lists
-its distinct items once, and each sequence becomes places in that list. Only the lists meet the
-replacement table; the replacements go back to their block and are put in by place. So an item's
-row is shuffled once for each block, not for each occurrence.
+"""Replacing every word of many texts through a table of distinct words.
+
+Texts are gathered into blocks. A block lists its distinct words once, and each text becomes
+places in that list. Only the lists meet the table of distinct words: they are dealt out by a hash
+of the word, so all occurrences of a word meet in one bucket, where it is looked up once. The
+values return to their block and are put in by place. A word so travels once for each block, not
+for each occurrence, and the texts themselves don't travel at all: blocks are stored bucketed by
+their number, which is what the values are joined on.
 """
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,103 +22,188 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from valuegrain.llm.slices import as_bytes, byte_slices, schema_of
-from valuegrain.llm.tables import stored
+from valuegrain.session import shared_dir
 
-#: Bytes of sequences in a block, about; a longer sequence is a block of its own.
-BLOCK_BYTES = 4 << 20
+#: Bytes of texts in a block, about; a longer text is a block of its own.
+BLOCK_BYTES = 16 << 20
+#: Bytes of results handed on at once.
+RESULT_BYTES = 4 << 20
+#: Listed words that a bucket of the table meets, about, and how many buckets there are at most.
+BUCKET_WORDS, BUCKETS = 50_000, 1 << 16
 
 
 class _Places(dict):
-    """A number for each new item, in order of appearance."""
+    """A number for each new word, in order of appearance."""
 
-    def __missing__(self, item):
-        place = self[item] = len(self)
+    def __missing__(self, word):
+        place = self[word] = len(self)
         return place
 
 
-def _small(codes: list[np.ndarray], distinct: int) -> list[bytes]:
-    kind = "<u2" if distinct <= 1 << 16 else "<u4"
-    return [c.astype(kind).tobytes() for c in codes]
+def _kind(distinct: int) -> np.dtype:
+    return np.dtype("<u2" if distinct <= 1 << 16 else "<u4")
 
 
-def coded_blocks(
-    rows: DataFrame, split: Callable[[bytes], list], entry: str, block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
-    """Blocks of (key, value) rows: block, keys, codes (places as 16 or 32 bits), entries.
+def bucketed(df: DataFrame, column: str, label: str) -> DataFrame:
+    """A frame written to the shared folder in buckets of a column, so joins on it don't move it.
 
-    ``split`` makes a value's items, which are of the SQL type ``entry``. Keys are of any type
-    and need not differ. A block's number is its task's and its place in it, and the blocks are
-    written to the shared folder, so that number stays.
+    The table is known to the catalogue while it is written and no longer.
+    """
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", shared_dir(spark, label))
+    writer.bucketBy(buckets, column).saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
+def coded_blocks(rows: DataFrame, split: Callable[[bytes], list[bytes]]) -> DataFrame:
+    """Blocks of (key, value) rows: block, keys, codes (places as 16 or 32 bits), words, distinct.
+
+    ``split`` makes a value's words, which hold no space; ``words`` are a block's words with a
+    space between them. Keys are of any type and need not differ. A block's number is made of its
+    task's and its place in it; the blocks are written out, so that number stays.
     """
-    kind = {"binary": pa.binary(), "long": pa.int64()}[entry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 33
-        for batch in byte_slices(batches, 1, block_bytes):
+        for batch in byte_slices(batches, 1, BLOCK_BYTES):
             places = _Places()
             codes = []
             for value in as_bytes(batch.column(1)):
-                items = split(value)
-                codes.append(np.fromiter(map(places.__getitem__, items), np.uint32, len(items)))
-            ends = pa.array([0, batch.num_rows], pa.int32())
-            columns = [
-                pa.array([block], pa.int64()),
-                pa.ListArray.from_arrays(ends, batch.column(0)),
-                pa.array([_small(codes, len(places))], pa.list_(pa.binary())),
-                pa.array([list(places)], pa.list_(kind)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "keys", "codes", "entries"])
+                words = split(value)
+                codes.append(np.fromiter(map(places.__getitem__, words), np.uint32, len(words)))
+            kind = _kind(len(places))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([block], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0)),
+                    pa.array([[c.astype(kind).tobytes() for c in codes]], pa.list_(pa.binary())),
+                    pa.array([b" ".join(places)], pa.binary()),
+                    pa.array([len(places)], pa.int64()),
+                ],
+                ["block", "keys", "codes", "words", "distinct"],
+            )
             block += 1
 
     keys = T.StructField("keys", T.ArrayType(rows.schema["key"].dataType))
-    schema = schema_of(T.StructField("block", T.LongType()), keys, more=f"codes array<binary>, entries array<{entry}>")
-    return stored(rows.select("key", "value").mapInArrow(run, schema), "blocks")
+    more = "codes array<binary>, words binary, distinct long"
+    schema = schema_of(T.StructField("block", T.LongType()), keys, more=more)
+    return bucketed(rows.select("key", "value").mapInArrow(run, schema), "block", "blocks")
 
 
-def distinct_entries(blocks: DataFrame) -> DataFrame:
-    """Each item of the blocks once, as ``entry``."""
-    return blocks.select(F.explode("entries").alias("entry")).distinct()
+def _dealt(buckets: int):
+    """The words of a block by bucket: a row (bucket, block, places, words) for each that has any."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+                words = text.split(b" ") if text else []
+                bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets
+                order = np.argsort(bucket, kind="stable").astype("<u4")
+                used, begins = np.unique(bucket[order], return_index=True)
+                parts = np.split(order, begins[1:]) if len(words) else []
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(used.astype(np.int32)),
+                        pa.array(np.full(len(used), block, np.int64)),
+                        pa.array([part.tobytes() for part in parts], pa.binary()),
+                        pa.array([b" ".join(map(words.__getitem__, part.tolist())) for part in parts], pa.binary()),
+                    ],
+                    ["bucket", "block", "places", "words"],
+                )
+
+    return run
+
+
+def _looked_up(look_up: Callable[[list[bytes]], list[bytes]]):
+    """The values of each row's words, end to end, with their sizes; each word of a bucket is looked up once."""
 
-def replaced(blocks: DataFrame, table: DataFrame, glue: bytes = b"") -> DataFrame:
-    """key and value (binary): the replacements of each sequence's items, ``glue`` between them.
-
-    ``table`` has one binary ``replacement`` for an ``entry``. Items without one, or with an
-    empty one, are left out. A block's replacements come together in one row, which is bounded
-    by the block as its items are.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, bytes] = {}
+        at = None
+        for batch in byte_slices(batches, 3, RESULT_BYTES):
+            sizes, values = [], []
+            for bucket, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(3))):
+                if bucket != at:
+                    known, at = {}, bucket
+                words = text.split(b" ")
+                new = [word for word in words if word not in known]
+                if new:
+                    known.update(zip(new, look_up(new)))
+                found = [known[word] for word in words]
+                sizes.append(np.fromiter(map(len, found), "<u4", len(found)).tobytes())
+                values.append(b"".join(found))
+            packed = [pa.array(values, pa.binary()) for values in (sizes, values)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1), batch.column(2), *packed], ["block", "places", "sizes", "values"]
+            )
+
+    return run
+
+
+def word_values(blocks: DataFrame, look_up: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
+    """block, places, sizes, values: what ``look_up`` gives for the words of each block.
+
+    All rows of a bucket lie in one task and come one after the other, so every distinct word of
+    the corpus is looked up once. A bucket's words are bounded by the number of buckets, which
+    follows from the number of words listed.
+    """
+    listed = blocks.agg(F.sum("distinct")).first()[0] or 0
+    buckets = int(min(max(1, -(-listed // BUCKET_WORDS)), BUCKETS))
+    dealt = blocks.select("block", "words").mapInArrow(
+        _dealt(buckets), "bucket int, block long, places binary, words binary"
+    )
+    sorted_by_bucket = dealt.repartition("bucket").sortWithinPartitions("bucket")
+    return sorted_by_bucket.mapInArrow(_looked_up(look_up), "block long, places binary, sizes binary, values binary")
+
+
+def _block_values(found: pa.Array, distinct: int) -> list[bytes]:
+    """The value of each place of a block, from its rows of word_values."""
+    values: list[bytes] = [b""] * distinct
+    for row in found:
+        places = np.frombuffer(row["places"].as_buffer(), "<u4").tolist()
+        ends = np.cumsum(np.frombuffer(row["sizes"].as_buffer(), "<u4"), dtype=np.int64).tolist()
+        data, begin = row["values"].as_py(), 0
+        for place, end in zip(places, ends):
+            values[place] = data[begin:end]
+            begin = end
+    return values
+
+
+def replaced(rows: DataFrame, split: Callable[[bytes], list[bytes]], look_up: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
+    """key and value (binary): the values of the words of each (key, value) row, end to end.
+
+    ``split`` makes a value's words, and ``look_up`` the values of distinct words.
     """
-    listed = blocks.select("block", F.posexplode("entries").alias("place", "entry"))
-    found = listed.join(table, "entry").groupBy("block")
-    back = found.agg(F.collect_list(F.struct("place", "replacement")).alias("found"))
-    whole = blocks.select("block", "keys", "codes", F.size("entries").alias("distinct")).join(back, "block", "left")
+    blocks = coded_blocks(rows, split)
+    found = F.collect_list(F.struct("places", "sizes", "values")).alias("found")
+    back = word_values(blocks, look_up).groupBy("block").agg(found)
+    # What functions return has no size that Spark could go by; merged, no side is held whole.
+    whole = blocks.select("block", "keys", "codes", "distinct").join(back.hint("merge"), "block", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
-                distinct = one.column(2)[0].as_py()
-                values: list[bytes] = [b""] * distinct
-                found = one.column(3)
-                if found.is_valid()[0].as_py():
-                    pairs = found.flatten()
-                    for place, value in zip(pairs.field("place").to_pylist(), pairs.field("replacement").to_pylist()):
-                        values[place] = value
-                kind = np.dtype("<u2" if distinct <= 1 << 16 else "<u4")
-                keys, out, held = one.column(0).flatten(), [], 0
-                begun = 0
-                for codes in one.column(1).flatten():
-                    places = np.frombuffer(codes.as_buffer(), kind).tolist()
-                    parts = map(values.__getitem__, places)
-                    out.append(glue.join(filter(None, parts)) if glue else b"".join(parts))
+                keys, codes = (batch.column(i).slice(row, 1).flatten() for i in (0, 1))
+                distinct = batch.column(2)[row].as_py()
+                values = _block_values(batch.column(3).slice(row, 1).flatten(), distinct)
+                kind, out, held, begun = _kind(distinct), [], 0, 0
+                for own in codes:
+                    places = np.frombuffer(own.as_buffer(), kind).tolist()
+                    out.append(b"".join(map(values.__getitem__, places)))
                     held += len(out[-1])
-                    if held > BLOCK_BYTES:
+                    if held > RESULT_BYTES:
                         yield _pairs(keys.slice(begun, len(out)), out)
                         begun, out, held = begun + len(out), [], 0
                 if out:
                     yield _pairs(keys.slice(begun), out)
 
     schema = schema_of(T.StructField("key", blocks.schema["keys"].dataType.elementType), more="value binary")
-    return whole.select("keys", "codes", "distinct", "found").mapInArrow(run, schema)
+    empty = F.array().cast("array<struct<places:binary,sizes:binary,values:binary>>")
+    return whole.select("keys", "codes", "distinct", F.coalesce("found", empty).alias("found")).mapInArrow(run, schema)
 
 
 def _pairs(keys: pa.Array, values: list[bytes]) -> pa.RecordBatch:
