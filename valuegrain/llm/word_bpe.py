@@ -67,9 +67,20 @@ def _tokenizer(vocabulary: str):
 
 
 def encode_words(vocabulary: str, words: list[bytes]) -> list[bytes]:
-    """The ids of each word as little-endian 32-bit integers."""
-    found = _tokenizer(vocabulary).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-    return [np.array(e.ids, "<u4").tobytes() for e in found]
+    """The ids of each word as little-endian integers of the vocabulary's width."""
+    tokenizer = _tokenizer(vocabulary)
+    found = tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+    width = _width(vocabulary)
+    return [np.array(e.ids, width).tobytes() for e in found]
+
+
+@lru_cache(maxsize=2)
+def _width(vocabulary: str) -> np.dtype:
+    return np.dtype("<u2" if _tokenizer(vocabulary).get_vocab_size() <= 1 << 16 else "<u4")
+
+
+def _full_width(vocabulary: str, ids: bytes) -> bytes:
+    return np.frombuffer(ids, _width(vocabulary)).astype("<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -92,7 +103,8 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     columns are left out; an empty table gives no rows.
     """
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").alias("key"), F.col("text").alias("value"))
-    found = replaced(rows, split_words, partial(encode_words, vocabulary))
+    look_up, finish = partial(encode_words, vocabulary), partial(_full_width, vocabulary)
+    found = replaced(rows, split_words, look_up, finish)
     n_tokens = (F.octet_length("value") / 4).cast("long").alias("n_tokens")
     return found.select(F.col("key").alias("doc_id"), n_tokens, F.col("value").alias("ids"))
 

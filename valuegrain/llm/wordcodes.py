@@ -25,7 +25,7 @@ from valuegrain.llm.slices import as_bytes, byte_slices, schema_of
 from valuegrain.session import shared_dir
 
 #: Bytes of texts in a block, about; a longer text is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 #: Bytes of results handed on at once.
 RESULT_BYTES = 4 << 20
 #: Listed words that a bucket of the table meets, about, and how many buckets there are at most.
@@ -94,106 +94,132 @@ def coded_blocks(rows: DataFrame, split: Callable[[bytes], list[bytes]]) -> Data
     return bucketed(rows.select("key", "value").mapInArrow(run, schema), "block", "blocks")
 
 
+def _by_bucket(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the words in the order of their buckets, the buckets that have any, and where each begins."""
+    bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets
+    order = np.argsort(bucket, kind="stable")
+    used, begins = np.unique(bucket[order], return_index=True)
+    return order, used, begins
+
+
+def _split_words(text: bytes) -> list[bytes]:
+    return text.split(b" ") if text else []
+
+
 def _dealt(buckets: int):
-    """The words of a block by bucket: a row (bucket, block, places, words) for each that has any."""
+    """The words of a block by bucket: a row (bucket, block, words) for each that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-                words = text.split(b" ") if text else []
-                bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets
-                order = np.argsort(bucket, kind="stable").astype("<u4")
-                used, begins = np.unique(bucket[order], return_index=True)
-                parts = np.split(order, begins[1:]) if len(words) else []
+                words = _split_words(text)
+                order, used, begins = _by_bucket(words, buckets)
+                parts = np.split(order, begins[1:]) if words else []
+                packed = [b" ".join(map(words.__getitem__, part.tolist())) for part in parts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(used.astype(np.int32)),
                         pa.array(np.full(len(used), block, np.int64)),
-                        pa.array([part.tobytes() for part in parts], pa.binary()),
-                        pa.array([b" ".join(map(words.__getitem__, part.tolist())) for part in parts], pa.binary()),
+                        pa.array(packed, pa.binary()),
                     ],
-                    ["bucket", "block", "places", "words"],
+                    ["bucket", "block", "words"],
                 )
 
     return run
 
 
+def _sizes(found: list[bytes]) -> bytes:
+    """How long values are: a byte each, or four if one is longer."""
+    sizes = np.fromiter(map(len, found), np.uint32, len(found))
+    return sizes.astype("u1" if sizes.max(initial=0) < 256 else "<u4").tobytes()
+
+
 def _looked_up(look_up: Callable[[list[bytes]], list[bytes]]):
     """The values of each row's words, end to end, with their sizes; each word of a bucket is looked up once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, bytes] = {}
         at = None
-        for batch in byte_slices(batches, 3, RESULT_BYTES):
+        for batch in byte_slices(batches, 2, RESULT_BYTES):
             sizes, values = [], []
-            for bucket, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(3))):
+            for bucket, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(2))):
                 if bucket != at:
                     known, at = {}, bucket
-                words = text.split(b" ")
+                words = _split_words(text)
                 new = [word for word in words if word not in known]
                 if new:
                     known.update(zip(new, look_up(new)))
                 found = [known[word] for word in words]
-                sizes.append(np.fromiter(map(len, found), "<u4", len(found)).tobytes())
+                sizes.append(_sizes(found))
                 values.append(b"".join(found))
-            packed = [pa.array(values, pa.binary()) for values in (sizes, values)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), *packed], ["block", "places", "sizes", "values"]
+                [batch.column(1), batch.column(0), *[pa.array(packed, pa.binary()) for packed in (sizes, values)]],
+                ["block", "bucket", "sizes", "values"],
             )
 
     return run
 
 
-def word_values(blocks: DataFrame, look_up: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """block, places, sizes, values: what ``look_up`` gives for the words of each block.
+VALUES = "bucket int, sizes binary, values binary"
+
+
+def word_values(blocks: DataFrame, look_up: Callable[[list[bytes]], list[bytes]], buckets: int) -> DataFrame:
+    """block, bucket, sizes, values: what ``look_up`` gives for the words of each block.
 
     All rows of a bucket lie in one task and come one after the other, so every distinct word of
-    the corpus is looked up once. A bucket's words are bounded by the number of buckets, which
-    follows from the number of words listed.
+    the corpus is looked up once.
     """
-    listed = blocks.agg(F.sum("distinct")).first()[0] or 0
-    buckets = int(min(max(1, -(-listed // BUCKET_WORDS)), BUCKETS))
-    dealt = blocks.select("block", "words").mapInArrow(
-        _dealt(buckets), "bucket int, block long, places binary, words binary"
-    )
+    dealt = blocks.select("block", "words").mapInArrow(_dealt(buckets), "bucket int, block long, words binary")
     sorted_by_bucket = dealt.repartition("bucket").sortWithinPartitions("bucket")
-    return sorted_by_bucket.mapInArrow(_looked_up(look_up), "block long, places binary, sizes binary, values binary")
+    return sorted_by_bucket.mapInArrow(_looked_up(look_up), f"block long, {VALUES}")
 
 
-def _block_values(found: pa.Array, distinct: int) -> list[bytes]:
+def _block_values(words: list[bytes], buckets: int, found: pa.Array) -> list[bytes]:
     """The value of each place of a block, from its rows of word_values."""
-    values: list[bytes] = [b""] * distinct
-    for row in found:
-        places = np.frombuffer(row["places"].as_buffer(), "<u4").tolist()
-        ends = np.cumsum(np.frombuffer(row["sizes"].as_buffer(), "<u4"), dtype=np.int64).tolist()
+    rows = {row["bucket"].as_py(): row for row in found}
+    values: list[bytes] = [b""] * len(words)
+    order, used, begins = _by_bucket(words, buckets)
+    for bucket, places in zip(used.tolist(), np.split(order, begins[1:]) if words else []):
+        row = rows[bucket]
+        sizes = row["sizes"].as_py()
+        ends = np.cumsum(np.frombuffer(sizes, "u1" if len(sizes) == len(places) else "<u4"), dtype=np.int64)
         data, begin = row["values"].as_py(), 0
-        for place, end in zip(places, ends):
+        for place, end in zip(places.tolist(), ends.tolist()):
             values[place] = data[begin:end]
             begin = end
     return values
 
 
-def replaced(rows: DataFrame, split: Callable[[bytes], list[bytes]], look_up: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
+def replaced(
+    rows: DataFrame,
+    split: Callable[[bytes], list[bytes]],
+    look_up: Callable[[list[bytes]], list[bytes]],
+    finish: Callable[[bytes], bytes] = bytes,
+) -> DataFrame:
     """key and value (binary): the values of the words of each (key, value) row, end to end.
 
-    ``split`` makes a value's words, and ``look_up`` the values of distinct words.
+    ``split`` makes a value's words, ``look_up`` the values of distinct words, and ``finish`` a
+    row's value from theirs. How many buckets words are dealt to follows from how many are
+    listed, so a bucket's table stays small.
     """
     blocks = coded_blocks(rows, split)
-    found = F.collect_list(F.struct("places", "sizes", "values")).alias("found")
-    back = word_values(blocks, look_up).groupBy("block").agg(found)
+    listed = blocks.agg(F.sum("distinct")).first()[0] or 0
+    buckets = int(min(max(1, -(-listed // BUCKET_WORDS)), BUCKETS))
+    found = F.collect_list(F.struct("bucket", "sizes", "values")).alias("found")
+    back = word_values(blocks, look_up, buckets).groupBy("block").agg(found)
     # What functions return has no size that Spark could go by; merged, no side is held whole.
-    whole = blocks.select("block", "keys", "codes", "distinct").join(back.hint("merge"), "block", "left")
+    whole = blocks.select("block", "keys", "codes", "words").join(back.hint("merge"), "block", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 keys, codes = (batch.column(i).slice(row, 1).flatten() for i in (0, 1))
-                distinct = batch.column(2)[row].as_py()
-                values = _block_values(batch.column(3).slice(row, 1).flatten(), distinct)
-                kind, out, held, begun = _kind(distinct), [], 0, 0
+                words = _split_words(batch.column(2)[row].as_py())
+                values = _block_values(words, buckets, batch.column(3).slice(row, 1).flatten())
+                kind, out, held, begun = _kind(len(words)), [], 0, 0
                 for own in codes:
                     places = np.frombuffer(own.as_buffer(), kind).tolist()
-                    out.append(b"".join(map(values.__getitem__, places)))
+                    out.append(finish(b"".join(map(values.__getitem__, places))))
                     held += len(out[-1])
                     if held > RESULT_BYTES:
                         yield _pairs(keys.slice(begun, len(out)), out)
@@ -202,8 +228,8 @@ def replaced(rows: DataFrame, split: Callable[[bytes], list[bytes]], look_up: Ca
                     yield _pairs(keys.slice(begun), out)
 
     schema = schema_of(T.StructField("key", blocks.schema["keys"].dataType.elementType), more="value binary")
-    empty = F.array().cast("array<struct<places:binary,sizes:binary,values:binary>>")
-    return whole.select("keys", "codes", "distinct", F.coalesce("found", empty).alias("found")).mapInArrow(run, schema)
+    empty = F.array().cast(f"array<struct<{VALUES.replace(' ', ':').replace(',:', ',')}>>")
+    return whole.select("keys", "codes", "words", F.coalesce("found", empty).alias("found")).mapInArrow(run, schema)
 
 
 def _pairs(keys: pa.Array, values: list[bytes]) -> pa.RecordBatch:
