@@ -3,7 +3,6 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from valuegrain.operators.boosting import BoostingSettings, fit_boosted
 from valuegrain.operators.ensemble import (
     EnsembleConfig,
     fit_ensemble,
@@ -48,21 +47,6 @@ def test_boosters_keep_several_trees_that_lower_the_held_out_error(trained):
     assert min(deep.errors) == deep.errors[-1] < deep.errors[1] < deep.errors[0]
 
 
-def test_shrunken_stages_come_closer_than_the_first(spark):
-    rng = np.random.default_rng(5)
-    x = rng.normal(size=(400, 3))
-    y = 100 + 40 * x[:, 0] + 20 * (x[:, 1] > 0) + rng.normal(size=400)
-    rows = [(Vectors.dense(v), float(t), i % 4 == 0) for i, (v, t) in enumerate(zip(x, y))]
-    df = spark.createDataFrame(rows, ["features", "label", "held_out"])
-    settings = BoostingSettings(rounds=16, rate=0.2, depth=3, patience=8, trees_per_stage=2)
-    model = fit_boosted(df, settings, name="out", label="label", held_out="held_out")
-    assert model.trees == 2 * len(model.stages) and len(model.errors) == len(model.stages) + 1
-    assert model.errors[-1] < model.errors[1] / 2
-    error = model.transform(df).where("held_out").agg(F.expr("avg(pow(label - out, 2))")).first()[0]
-    assert error == pytest.approx(model.errors[-1])
-    assert sum(model.importances) == pytest.approx(1.0)
-
-
 def test_metrics_have_a_row_per_member(trained):
     _, training = trained
     rows = {r.model: r for r in training.metrics(TEST).collect()}

@@ -1,9 +1,9 @@
-"""Weighted ensemble of Spark ML regressors."""
+"""Weighted ensemble of histogram trees, a forest and ridge regression."""
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Model
 from pyspark.ml.regression import (
@@ -15,26 +15,26 @@ from pyspark.ml.regression import (
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valuegrain.operators.boosting import BoostedModel, BoostingSettings, fit_boosted
+from valuegrain.operators.trees import TreeModel, TreeSettings, fit_trees, quantile_edges
 from valuegrain.session import constant_table
 
 MAE_FLOOR = 1e-6
-LABEL, HELD_OUT = "label", "held_out"
+LABEL, HELD_OUT, KEY = "label", "held_out", "key"
 LINEAR = "ridge"
 MODEL_CLASSES = {
-    "boosting_deep": BoostedModel,
-    "boosting_wide": BoostedModel,
+    "boosting_deep": TreeModel,
+    "boosting_wide": TreeModel,
     "random_forest": RandomForestRegressionModel,
-    "gradient_boosting": BoostedModel,
+    "gradient_boosting": TreeModel,
     LINEAR: LinearRegressionModel,
 }
 
 
 @dataclass
 class EnsembleConfig:
-    """Member settings. Rounds count trees. The two large boosters stop early on the
-    held-out rows; they stand in for leaf-wise and regularised boosting, which Spark ML
-    does not offer."""
+    """Member settings. The two large boosters stop early on the held-out rows: boosting_deep
+    grows regularised trees level by level, boosting_wide the leaf of the largest gain next.
+    gradient_boosting grows plain trees level by level for all its rounds."""
 
     members: tuple[str, ...] = tuple(MODEL_CLASSES)
     boosting_rounds: int = 500
@@ -42,11 +42,12 @@ class EnsembleConfig:
     boosting_patience: int = 50
     deep_depth: int = 6
     deep_child_rows: int = 3
-    wide_depth: int = 5
+    wide_leaves: int = 31
     wide_child_rows: int = 20
+    l1: float = 0.1
+    l2: float = 1.0
     subsample: float = 0.8
     column_share: float = 0.8
-    trees_per_stage: int = 10
     forest_trees: int = 100
     forest_depth: int = 15
     forest_min_rows: int = 2
@@ -61,50 +62,48 @@ class EnsembleConfig:
 def small_config(**changes) -> EnsembleConfig:
     """Few shallow trees, for tests and interactive use."""
     settings = dict(
-        boosting_rounds=12,
-        boosting_rate=0.2,
-        trees_per_stage=2,
-        deep_depth=4,
-        wide_depth=3,
+        boosting_rounds=8,
+        boosting_rate=0.3,
+        deep_depth=3,
+        wide_leaves=6,
         forest_trees=12,
         forest_depth=6,
-        gradient_rounds=8,
-        gradient_depth=4,
+        gradient_rounds=6,
+        gradient_depth=3,
         gradient_rate=0.3,
     )
     return EnsembleConfig(**{**settings, **changes})
 
 
-def _boosting(name: str, config: EnsembleConfig) -> BoostingSettings | None:
+def _boosting(name: str, config: EnsembleConfig) -> TreeSettings | None:
     """Settings of a boosted member, none for the other members."""
-    shared = {
-        "subsample": config.subsample,
-        "trees_per_stage": config.trees_per_stage,
-        "seed": config.seed,
-    }
-    if name == "gradient_boosting":
-        return BoostingSettings(
-            rounds=config.gradient_rounds,
-            rate=config.gradient_rate,
-            depth=config.gradient_depth,
-            **shared,
-        )
-    large = {
-        "boosting_deep": (config.deep_depth, config.deep_child_rows),
-        "boosting_wide": (config.wide_depth, config.wide_child_rows),
-    }
-    if name not in large:
-        return None
-    depth, child_rows = large[name]
-    return BoostingSettings(
+    large = TreeSettings(
         rounds=config.boosting_rounds,
         rate=config.boosting_rate,
-        depth=depth,
-        child_rows=child_rows,
+        l1=config.l1,
+        l2=config.l2,
+        subsample=config.subsample,
         column_share=config.column_share,
         patience=config.boosting_patience,
-        **shared,
+        seed=config.seed,
     )
+    if name == "boosting_deep":
+        return replace(large, depth=config.deep_depth, child_rows=config.deep_child_rows)
+    if name == "boosting_wide":
+        return replace(large, depth=None, leaves=config.wide_leaves, child_rows=config.wide_child_rows)
+    if name == "gradient_boosting":
+        return replace(
+            large,
+            rounds=config.gradient_rounds,
+            rate=config.gradient_rate,
+            depth=config.gradient_depth,
+            l1=0.0,
+            l2=0.0,
+            child_rows=1,
+            column_share=1.0,
+            patience=None,
+        )
+    return None
 
 
 def _estimator(name: str, config: EnsembleConfig, ridge_penalty: float):
@@ -128,8 +127,8 @@ def _estimator(name: str, config: EnsembleConfig, ridge_penalty: float):
     raise ValueError(f"unknown member: {name}")
 
 
-def _importances(model: Model | BoostedModel) -> list[float]:
-    if isinstance(model, BoostedModel):
+def _importances(model: Model | TreeModel) -> list[float]:
+    if isinstance(model, TreeModel):
         return model.importances
     return [float(value) for value in model.featureImportances.toArray()]
 
@@ -167,7 +166,7 @@ def weighted_mean(guesses: dict[str, str], weights: dict[str, float]) -> Column:
 
 @dataclass
 class Ensemble:
-    members: dict[str, Model | BoostedModel]
+    members: dict[str, Model | TreeModel]
     weights: dict[str, float] = field(default_factory=dict)
     features: list[str] = field(default_factory=list)
 
@@ -210,7 +209,7 @@ class Ensemble:
 
     def save(self, spark: SparkSession, path: str) -> None:
         for name, model in self.members.items():
-            if isinstance(model, BoostedModel):
+            if isinstance(model, TreeModel):
                 model.save(spark, f"{path}/members/{name}")
             else:
                 model.write().overwrite().save(f"{path}/members/{name}")
@@ -228,15 +227,16 @@ class Ensemble:
         members = {}
         for name in state["members"]:
             kind, folder = MODEL_CLASSES[name], f"{path}/members/{name}"
-            members[name] = kind.load(spark, folder) if kind is BoostedModel else kind.load(folder)
+            members[name] = kind.load(spark, folder) if kind is TreeModel else kind.load(folder)
         return Ensemble(members, state["weights"], state["features"])
 
 
 def fit_ensemble(vectors: DataFrame, features: list[str], config: EnsembleConfig) -> Ensemble:
     """Fit the members on rows that are not held out and weigh them on those that are.
 
-    ``vectors`` has ``features``, ``label`` and the boolean ``held_out``; it is read
-    by every member, so it should be cached.
+    ``vectors`` has ``features``, ``label``, the boolean ``held_out`` and, for boosted members, a
+    whole number ``key`` by which rows are drawn; it is read by every member, so it should be
+    cached.
     """
     fitted_on = vectors.where(~F.col(HELD_OUT))
     moments = fitted_on.agg(
@@ -246,15 +246,18 @@ def fit_ensemble(vectors: DataFrame, features: list[str], config: EnsembleConfig
     # deviation, so this penalty equals alpha on the plain sum of squares.
     penalty = config.ridge_alpha * (moments["sd"] or 0.0) / max(moments["rows"], 1)
     members = {}
+    edges = quantile_edges(fitted_on, len(features), TreeSettings.bins)
     for name in config.members:
         boosting = _boosting(name, config)
         if boosting:
-            members[name] = fit_boosted(
+            members[name] = fit_trees(
                 vectors if boosting.patience else fitted_on,
                 boosting,
                 name=_raw(name),
                 label=LABEL,
                 held_out=HELD_OUT,
+                key=KEY,
+                edges=edges,
             )
         else:
             members[name] = _estimator(name, config, penalty).fit(fitted_on)

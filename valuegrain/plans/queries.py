@@ -16,7 +16,6 @@ from valuegrain.functions.scoring import (
     response_cac,
 )
 from valuegrain.operators import audience, catalogue, customers, dashboard, evaluate, quality
-from valuegrain.operators.boosting import BoostedModel
 from valuegrain.operators.calendar import HOLIDAYS
 from valuegrain.operators.clean import fit_cleaning, present_gaps
 from valuegrain.operators.encode import fit_encoder
@@ -24,6 +23,7 @@ from valuegrain.operators.ensemble import inverse_error_weights, weighted_mean
 from valuegrain.operators.profile import STATISTICAL_COLUMNS
 from valuegrain.operators.segments import segment_analysis, segment_rows, segment_summary
 from valuegrain.operators.split import random_split, temporal_split
+from valuegrain.operators.trees import TreeModel
 from valuegrain.operators.validate import (
     apply_contract,
     violation_rows,
@@ -554,7 +554,7 @@ def ensemble_invariants(spark, folder):
     members = [F.col(c) for c in ensemble.guesses.values()]
     lowest, highest, slack = F.least(*members), F.greatest(*members), 1e-6
     outside = ~F.col("ensemble").between(lowest - slack, highest + slack)
-    boosted = [m for m in ensemble.members.values() if isinstance(m, BoostedModel)]
+    boosted = [m for m in ensemble.members.values() if isinstance(m, TreeModel)]
     falling = [m for m in boosted if m.errors]
     sizes = training.rows.groupBy(F.concat("split", F.lit("_rows")).alias("name")).agg(
         F.count(F.lit(1)).cast("double").alias("value")

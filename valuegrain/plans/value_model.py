@@ -14,6 +14,7 @@ from valuegrain.operators.clean import Cleaning, fit_cleaning, require_rows
 from valuegrain.operators.encode import Encoder, fit_encoder, script_features
 from valuegrain.operators.ensemble import (
     HELD_OUT,
+    KEY,
     LABEL,
     Ensemble,
     EnsembleConfig,
@@ -30,6 +31,7 @@ from valuegrain.operators.profile import Profile
 from valuegrain.operators.segments import score_columns
 from valuegrain.operators.split import PARTS, random_split, temporal_split
 from valuegrain.plans.features import FAMILIES, FeaturePlan, fit_features
+from valuegrain.schema import ID
 from valuegrain.session import constant_table, keep, shared_dir
 
 TARGET = "actual_clv"
@@ -167,12 +169,16 @@ def train_value_model(
         ]
     encoder = fit_encoder(known, numeric=numeric, categorical=text)
     fitting = features.where(F.col("split") != TEST).withColumns(
-        {LABEL: F.col(TARGET), HELD_OUT: F.col("split") == VALIDATION}
+        {
+            LABEL: F.col(TARGET),
+            HELD_OUT: F.col("split") == VALIDATION,
+            KEY: F.xxhash64(ID),
+        }
     )
     # Tree learners run several jobs per level, so partitions should not be tiny.
     wanted = math.ceil(plan.profile.rows / ROWS_PER_PARTITION)
     partitions = max(wanted, df.sparkSession.sparkContext.defaultParallelism)
-    vectors = encoder.vectors(fitting, keep=(LABEL, HELD_OUT)).coalesce(partitions)
+    vectors = encoder.vectors(fitting, keep=(LABEL, HELD_OUT, KEY)).coalesce(partitions)
     # Read by hundreds of jobs, so it is stored: their plans then begin here.
     stored = shared_dir(df.sparkSession, "vectors")
     vectors.write.parquet(stored)
