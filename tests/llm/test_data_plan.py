@@ -167,3 +167,16 @@ def test_top_products_of_few_rows(spark):
         (10, 1, 0, -2048 * 1024),
     ]
     assert topk.top_products(frame.limit(0), 10).collect() == []
+
+
+def test_long_runs_are_packed_as_the_library_encodes_them(spark):
+    n = 1_200_000
+    runs = [" " * n, "\n" * n, "ab" * (n // 2), "some text" + " " * n + "end", "a b c\n" + "\n" * n + "x y", None]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")).collect()
+    _check_packing(rows, dict(enumerate(runs)), packing.WINDOW)
+
+
+def test_rows_with_null_ids_are_packed_each(spark):
+    docs = spark.createDataFrame([(None, "one two")] * 3 + [(None, None)], "doc_id long, text string")
+    rows = packing.pack(docs).collect()
+    assert sorted(r.doc_tokens for r in rows) == [1, 3, 3, 3]

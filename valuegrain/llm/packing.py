@@ -11,6 +11,7 @@ as documents may be cut freely, so at most one window of the result has padding.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,8 +30,13 @@ CLOSING_ID = 0
 #: The public byte-level vocabulary as ranks; its ids are those of byte_bpe_50k.json.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SPECIAL = "<|endoftext|>"
+#: The same vocabulary for the library that defines the ids.
+LIBRARY_FILE = "byte_bpe_50k.json"
 #: Pieces of text a worker remembers; beyond that it starts anew.
 REMEMBERED = 400_000
+#: Runs of white space or of other characters as long as this go to the vocabulary's own library.
+LONG_RUN = 10_000
+_LONG = re.compile(rf"\s{{{LONG_RUN}}}|\S{{{LONG_RUN}}}")
 
 PIECES = (
     "part long, doc_id long, start long, length long, doc_tokens long, ids binary, ids_crc32 long, "
@@ -55,6 +61,9 @@ class Encoder(dict):
         import public_tokenizers
         import tiktoken
 
+        self.slow = None
+        self.plain = public_tokenizers.path(LIBRARY_FILE)
+
         with open(public_tokenizers.path(vocabulary), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.codec = tiktoken.Encoding(
@@ -65,12 +74,23 @@ class Encoder(dict):
         )
 
     def whole(self, text: str) -> bytes:
+        # The fast encoder's recursion ends a task on white space of a million characters, and its
+        # merging takes the square of a run's length.
+        if len(text) >= LONG_RUN and _LONG.search(text):
+            return self.by_library(text)
         if SPECIAL in text:
             ids = self.codec.encode(text, allowed_special="all")
         else:
             ids = self.codec.encode_ordinary(text)
         return np.array(ids, "<u4").tobytes()
 
+    def by_library(self, text: str) -> bytes:
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.plain)
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def __missing__(self, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Odd
@@ -215,7 +235,8 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY) ->
     Columns: doc_id, start, length, ids (little-endian 32-bit), ids_crc32, doc_tokens,
     sequence_id, offset. Each id of each document is in one piece; offsets of a sequence have no
     gaps. sequence_id is unique to a window, not dense. Null or empty text gives one piece, the
-    closing id. Repeated rows are packed each. An empty table gives no rows.
+    closing id. Repeated rows and those with a null id are packed each. Texts are encoded whole,
+    whatever their length and however long their runs. An empty table gives no rows.
     """
     spark = docs.sparkSession
     pieces = stored(token_pieces(docs, window, vocabulary), "pieces")
