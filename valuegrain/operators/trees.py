@@ -164,11 +164,11 @@ def sampled(keys: np.ndarray, share: float, salt: int) -> np.ndarray:
 
 def quantile_edges(vectors: DataFrame, width: int, bins: int) -> list[list[float]]:
     """Ascending upper ends of all but the last bin of each feature, from one pass of sketches."""
-    x = vector_to_array("features")
-    wide = vectors.select(*[F.get(x, F.lit(i)).alias(f"f{i}") for i in range(width)])
+    values = vectors.select(F.posexplode(vector_to_array("features")).alias("place", "value"))
     shares = [k / bins for k in range(1, bins)]
-    found = wide.agg(*[F.percentile_approx(c, shares, 10 * bins) for c in wide.columns]).first() if width else []
-    return [sorted(set(edges or [])) for edges in found]
+    found = values.groupBy("place").agg(F.percentile_approx("value", shares, 10 * bins).alias("edges"))
+    edges = {row["place"]: sorted(set(row["edges"])) for row in found.collect()}
+    return [edges.get(place, []) for place in range(width)]
 
 
 def binned_chunks(vectors: DataFrame, edges: list[list[float]], base: float, columns: tuple[str, str, str]) -> DataFrame:
@@ -538,8 +538,8 @@ def fit_trees(
     path = shared_dir(spark, "chunks")
     binned_chunks(vectors, edges, base, (key, label, held_out)).write.parquet(path)
     written = spark.read.schema(CHUNKS).parquet(path)
-    counted = written.agg(F.count("*"), F.sum("n")).first()
-    tasks = max(1, -(-counted[0] // CHUNKS_PER_TASK))
+    rows = written.agg(F.sum("n")).first()[0] or 0
+    tasks = max(1, -(-rows // (CHUNK_ROWS * CHUNKS_PER_TASK)))
     held_rows = vectors.where(held_out).count()
     chunks = keep(written.coalesce(1) if tasks == 1 else written.repartition(tasks))
     trees: list[Tree] = []
