@@ -600,7 +600,7 @@ FROM (SELECT *, CASE WHEN c <> 0 THEN sd / abs(c) ELSE 1.0 END AS cv
     )
 
 
-def oracle_queries() -> dict[str, str]:
+def _base_queries() -> dict[str, str]:
     lookalikes = " UNION ALL ".join(
         f"SELECT {_text(name)} AS campaign, {_text(audience)} AS source_audience, "
         f"count(*) FILTER (WHERE predicted_segment IN ({', '.join(map(_text, held))})) "
@@ -939,3 +939,81 @@ def oracle_queries() -> dict[str, str]:
             "SELECT customer_id, outcome FROM outcomes", PLAIN_MONEY, BROKEN, OUTCOME
         ),
     }
+
+
+# Candidates of a tree's first split, as the query states them.
+_EDGES = {
+    "total_orders": list(range(1, 15)),
+    "total_spent": list(range(50, 751, 50)),
+    "days_since_last_purchase": list(range(100, 1001, 100)),
+}
+
+
+def _first_gains() -> str:
+    """Regularised gains and leaf values by their formula: L1 0.1, L2 1, three rows at least."""
+    sides = " UNION ALL ".join(
+        f"SELECT '{name}' AS feature, CAST(t AS DOUBLE) AS threshold, count(*) FILTER ({name} <= t) AS left_rows, "
+        f"count(*) FILTER ({name} > t) AS right_rows, coalesce(sum(actual_clv) FILTER ({name} <= t), 0) AS sl, "
+        f"coalesce(sum(actual_clv) FILTER ({name} > t), 0) AS sr FROM base, (SELECT unnest({edges}) AS t) GROUP BY t"
+        for name, edges in _EDGES.items()
+    )
+    return _with(
+        f"""
+SELECT feature, threshold, left_rows, right_rows, round(gain / max(gain) OVER (), 6) AS gain,
+       round(tl / (left_rows + 1), 3) AS left_value, round(tr / (right_rows + 1), 3) AS right_value
+FROM (SELECT *, tl * tl / (left_rows + 1) + tr * tr / (right_rows + 1) - ta * ta / (left_rows + right_rows + 1) AS gain
+      FROM (SELECT *, greatest(sl - 0.1, 0) AS tl, greatest(sr - 0.1, 0) AS tr, greatest(sl + sr - 0.1, 0) AS ta
+            FROM ({sides})) WHERE left_rows >= 3 AND right_rows >= 3)""",
+        TRAINING,
+    )
+
+
+def _test_rows(facts: str) -> str:
+    """``facts`` over the number of training and test rows of the random split."""
+    return _with(
+        f"SELECT name, CAST(value AS DOUBLE) AS value FROM (SELECT count(*) FILTER ({_percentile(42)} >= 20) AS n_train, "
+        f"count(*) FILTER ({_percentile(42)} < 20) AS n_test FROM base), LATERAL (VALUES {facts}) AS f(name, value)",
+        TRAINING,
+    )
+
+
+def _cells(section: str, query: str, key: str, numbers: str, texts: str = "") -> str:
+    parts = [
+        f"SELECT '{section}' AS section, {key} AS subject, '{c}' AS field, CAST({c} AS DOUBLE) AS amount, "
+        f"CAST(NULL AS VARCHAR) AS text FROM ({query})"
+        for c in numbers.split()
+    ]
+    parts += [
+        f"SELECT '{section}', {key}, '{c}', CAST(NULL AS DOUBLE), CAST({c} AS VARCHAR) FROM ({query})"
+        for c in texts.split()
+    ]
+    return " UNION ALL ".join(parts)
+
+
+def _strategy(found: dict[str, str]) -> str:
+    shares = "budget budget_percentage customer_count avg_predicted_clv optimal_cac expected_acquisitions"
+    sums = "total_budget total_expected_acquisitions total_expected_revenue blended_roas"
+    campaign = "campaign_objective optimization_event bidding_strategy budget_type ad_format messaging retargeting_window"
+    audience = "source_audience lookalike_size estimated_reach priority strategy"
+    return " UNION ALL ".join(
+        [
+            _cells("budget_totals", found["budget_totals"], "'all'", sums),
+            _cells("budget_allocation", found["budget_allocation"], "segment", f"{shares} expected_revenue expected_roas"),
+            _cells("lookalikes", found["lookalike_plan"], "campaign", "source_size", audience),
+            _cells("campaigns", found["campaign_plan"], "segment", "customer_count", f"{campaign} frequency_cap"),
+            _cells("audience_sizes", found["audience_sizes"], "segment", "customer_count"),
+        ]
+    )
+
+
+def oracle_queries() -> dict[str, str]:
+    found = _base_queries()
+    return found | {
+        "boosting_first_gains": _first_gains(),
+        "full_strategy": _strategy(found),
+        "training_report": _test_rows(
+            "('n_train', n_train), ('n_test', n_test), ('models', 6), ('other_sizes', 0), ('reports_apart', 0)"
+        ),
+        "saved_model_scores": _test_rows("('rows', n_test), ('differing', 0), ('versions', 2)"),
+        "stream_model_scores": _test_rows("('rows', n_test), ('differing', 0), ('versions', 2)"),
+    }

@@ -105,3 +105,19 @@ def test_fitted_percent_rank_is_close(skewed):
     edges = np.quantile(pdf.spent, np.arange(1, 200) / 200, method="lower").tolist()
     got = fitted_percent_rank(df, "spent", "share", edges=edges).toPandas()
     assert (got.spent.rank(pct=True) - got.share).abs().max() < 0.006
+
+
+def test_columns_are_ranked_together_in_fine_buckets(skewed, monkeypatch):
+    from valuegrain.operators import ranks
+
+    pdf, df = skewed
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(ranks, "SALT_ROWS", 100)
+    columns = ["orders", "spent"]
+    edges = {c: sorted(pdf[c].quantile([k / 20 for k in range(1, 20)]).tolist()) for c in columns}
+    outputs = {c: f"{c}_share" for c in columns}
+    ranked = ranks.average_percent_ranks(df, outputs, sizes=dict.fromkeys(columns, 3000), edges=edges)
+    got = ranked.toPandas()
+    assert len(got) == len(pdf)
+    for c in columns:
+        assert np.allclose(got[c].rank(pct=True), got[outputs[c]], atol=1e-12)

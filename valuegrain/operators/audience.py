@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from valuegrain.operators.customers import segment_column
 from valuegrain.operators.segments import every_segment
@@ -218,3 +219,31 @@ def full_strategy(df: DataFrame, budget: float) -> dict[str, DataFrame]:
         "campaigns": campaign_plan(df),
         "audience_sizes": audience_sizes(df),
     }
+
+
+def tidy_strategy(df: DataFrame, budget: float) -> DataFrame:
+    """The whole strategy as one table: section, subject, field, amount, text.
+
+    The budget, lookalike and campaign tables and the audience sizes, a row for each of their
+    cells; numbers are amounts, all else is text.
+    """
+    tables = full_strategy(df, budget)
+    keys = {"budget_allocation": "segment", "lookalikes": "campaign", "campaigns": "segment", "audience_sizes": "segment"}
+    parts = [_cells(section, tables[section], key) for section, key in keys.items()]
+    totals = tables["budget_totals"].withColumn("subject", F.lit("all"))
+    whole = _cells("budget_totals", totals, "subject")
+    for part in parts:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def _cells(section: str, table: DataFrame, key: str) -> DataFrame:
+    cells = []
+    for f in table.schema:
+        if f.name == key:
+            continue
+        number = isinstance(f.dataType, T.NumericType)
+        amount = F.col(f.name).cast("double") if number else F.lit(None).cast("double")
+        text = F.lit(None).cast("string") if number else F.col(f.name).cast("string")
+        cells.append(F.struct(F.lit(f.name).alias("field"), amount.alias("amount"), text.alias("text")))
+    return table.select(F.lit(section).alias("section"), F.col(key).alias("subject"), F.inline(F.array(*cells)))

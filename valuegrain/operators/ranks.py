@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from valuegrain.schema import ID
 
-SALTS = 32
+#: Rows of a ranking bucket, and of a salt of a repeated value, about.
+BUCKET_ROWS, SALT_ROWS = 100_000, 100_000
 
 
 def average_percent_rank(
@@ -22,52 +23,89 @@ def average_percent_rank(
     size: int,
     edges: Sequence[float],
     id_column: str = ID,
-    salts: int = SALTS,
 ) -> DataFrame:
-    """Add the average rank of ``column`` divided by ``size``, exactly.
+    """Add the average rank of ``column`` divided by ``size``, exactly."""
+    return average_percent_ranks(df, {column: output}, sizes={column: size}, edges={column: edges}, id_column=id_column)
 
-    Rows are first counted per value, so a value shared by many rows is one row of
-    the ranking. The values are ranked in buckets between ``edges``: a bucket depends on the value alone, so the edges decide how
-    even the work is and never the result. Values that repeat among the edges hold
-    at least about one step of all rows; they are salted in the join back.
+
+def average_percent_ranks(
+    df: DataFrame,
+    outputs: dict[str, str],
+    *,
+    sizes: dict[str, int],
+    edges: dict[str, Sequence[float]],
+    id_column: str = ID,
+) -> DataFrame:
+    """Add the average rank of each column of ``outputs`` divided by its size, exactly.
+
+    The columns are ranked together, as narrow rows of (column, value); the table itself is
+    joined once. Rows are first counted per value, so a value shared by many rows is one row of
+    the ranking. Values are ranked in buckets between ``edges``, cut finer for large tables: a
+    bucket depends on the value alone, so edges decide how even the work is and never the result.
+    Values that repeat among the edges hold at least about one step of all rows; in the join back
+    they are salted by as many salts as the number of rows asks for.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(
-        F.count(F.lit(1)).alias("ties")
-    )
-    splits = [float("-inf"), *(sorted(set(edges)) or [0.0]), float("inf")]
-    value = f"{column}:double"
-    counts = Bucketizer(splits=splits, inputCol=value, outputCol="bucket").transform(
-        counts.withColumn(value, F.col(column).cast("double"))
-    ).drop(value)
-    # At most one row per bucket, however large the table.
-    ahead = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    columns = list(outputs)
+    row = F.struct(id_column, *columns)
+    entries = [
+        F.struct(F.lit(i).alias("of"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)
+    ]
+    narrow = df.select(row.alias("ranked_row"), F.inline(F.array(*entries))).where("value IS NOT NULL")
+    counts = _bucketed(narrow.groupBy("of", "value").agg(F.count(F.lit(1)).alias("ties")), columns, sizes, edges)
+    # One row for each bucket, whose number follows from the number of rows.
+    place = ["bucket", "part"]
+    ahead = Window.partitionBy("of").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        counts.groupBy("bucket")
+        counts.groupBy("of", *place)
         .agg(F.sum("ties").alias("held"))
-        .select("bucket", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("offset"))
-    )
-    before = (
-        Window.partitionBy("bucket").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+        .select("of", *place, F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("offset"))
     )
+    before = Window.partitionBy("of", *place).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     ranked = counts.withColumn("below", F.coalesce(F.sum("ties").over(before), F.lit(0)))
-    ranked = ranked.join(F.broadcast(offsets), "bucket").withColumn(
-        "below", F.col("below") + F.col("offset")
-    )
-    share = (F.col("below") + (F.col("ties") + 1) / 2) / F.lit(size)
-    ranked = ranked.select(F.col(column), share.alias(output))
+    total = F.get(F.array(*[F.lit(sizes[c]) for c in columns]), F.col("of"))
+    share = (F.col("offset") + F.col("below") + (F.col("ties") + 1) / 2) / total
+    ranked = ranked.join(offsets, ["of", *place]).select("of", "value", share.alias("share"))
 
-    heavy = sorted({a for a, b in zip(edges, edges[1:]) if a == b})
-    hot = F.col(column).isNull() | F.col(column).isin(heavy) if heavy else F.col(column).isNull()
+    hot = F.lit(False)
+    for i, c in enumerate(columns):
+        heavy = sorted({float(a) for a, b in zip(edges[c], edges[c][1:]) if a == b})
+        if heavy:
+            hot = hot | ((F.col("of") == i) & F.col("value").isin(heavy))
+    salts = max(1, -(-max(sizes.values()) // SALT_ROWS))
     spread = F.sequence(F.lit(0), F.lit(salts - 1))
-    ranked = ranked.withColumn(
-        "salt", F.explode(F.when(hot, spread).otherwise(F.array(F.lit(0))))
-    )
-    salt = F.pmod(F.xxhash64(id_column), F.lit(salts)).cast("int")
-    return (
-        df.withColumn("salt", F.when(hot, salt).otherwise(F.lit(0)))
-        .join(ranked, [column, "salt"], "left")
-        .drop("salt")
-    )
+    ranked = ranked.withColumn("salt", F.explode(F.when(hot, spread).otherwise(F.array(F.lit(0)))))
+    salt = F.pmod(F.xxhash64("ranked_row"), F.lit(salts)).cast("int")
+    met = narrow.withColumn("salt", F.when(hot, salt).otherwise(F.lit(0))).join(ranked, ["of", "value", "salt"])
+    shares = [F.max(F.when(F.col("of") == i, F.col("share"))).alias(outputs[c]) for i, c in enumerate(columns)]
+    wide = met.groupBy("ranked_row").agg(*shares)
+    return df.withColumn("ranked_row", row).join(wide, "ranked_row", "left").drop("ranked_row")
+
+
+def _bucketed(
+    counts: DataFrame, columns: list[str], sizes: dict[str, int], edges: dict[str, Sequence[float]]
+) -> DataFrame:
+    """Add bucket, by the edges of a row's column, and part, by how far the value lies in it."""
+    limits = [[float("-inf"), *(sorted(set(map(float, edges[c]))) or [0.0]), float("inf")] for c in columns]
+    own = {f"value_{i}": F.when(F.col("of") == i, F.col("value")) for i in range(len(columns))}
+    found = Bucketizer(
+        splitsArray=limits,
+        inputCols=list(own),
+        outputCols=[f"bucket_{i}" for i in range(len(columns))],
+        handleInvalid="keep",
+    ).transform(counts.withColumns(own))
+    chosen = F.lit(None).cast("double")
+    for i in range(len(columns)):
+        chosen = F.when(F.col("of") == i, F.col(f"bucket_{i}")).otherwise(chosen)
+    found = found.withColumn("bucket", chosen.cast("int"))
+    parts = max(-(-sizes[c] // (BUCKET_ROWS * len(limit))) for c, limit in zip(columns, limits))
+    part = F.lit(0)
+    if parts > 1:
+        ends = F.get(F.array(*[F.array(*map(F.lit, limit)) for limit in limits]), F.col("of"))
+        low, high = F.get(ends, F.col("bucket")), F.get(ends, F.col("bucket") + 1)
+        within = F.floor((F.col("value") - low) / (high - low) * parts)
+        inner = (low > float("-inf")) & (high < float("inf"))
+        part = F.when(inner, F.greatest(F.lit(0), F.least(within, F.lit(parts - 1)))).otherwise(0)
+    return found.select("of", "value", "ties", "bucket", part.cast("int").alias("part"))
 
 
 def fitted_percent_rank(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from valuegrain.functions.bins import flag
 from valuegrain.operators.profile import STATISTICAL_COLUMNS, Profile
-from valuegrain.operators.ranks import average_percent_rank, fitted_percent_rank
+from valuegrain.operators.ranks import average_percent_ranks, fitted_percent_rank
 
 OUTLIER_DEVIATIONS = 3
 
@@ -25,12 +25,12 @@ def add_statistical(df: DataFrame, profile: Profile, *, exact_ranks: bool = True
     ]
     if not varying:
         return df
-    for c in varying:
-        output, edges = f"{c}_percentile", profile.edges[c]
-        if exact_ranks:
-            df = average_percent_rank(df, c, output, size=profile.sizes[c], edges=edges)
-        else:
-            df = fitted_percent_rank(df, c, output, edges=edges)
+    outputs = {c: f"{c}_percentile" for c in varying}
+    if exact_ranks:
+        df = average_percent_ranks(df, outputs, sizes=profile.sizes, edges=profile.edges)
+    else:
+        for c, output in outputs.items():
+            df = fitted_percent_rank(df, c, output, edges=profile.edges[c])
     scores = {
         f"{c}_zscore": (F.col(c) - F.lit(profile.means[c])) / F.lit(profile.deviations[c])
         for c in varying

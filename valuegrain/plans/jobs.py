@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from valuegrain.operators.clean import fit_cleaning
 from valuegrain.operators.ensemble import EnsembleConfig
@@ -54,7 +55,7 @@ def training_job(
     training = train_value_model(customers, config, split=split, **options)
     training.model.save(spark, f"{target}/model")
     write_table(training.part(TEST), f"{target}/test")
-    write_report(training.metrics(TEST), f"{target}/metrics")
+    write_report(training_report(training), f"{target}/metrics")
     write_report(training.importance(), f"{target}/importance")
     return training
 
@@ -74,6 +75,18 @@ def scoring_job(spark: SparkSession, model: str, source: str, target: str) -> No
     write_table(scored, target, partition_by="predicted_segment")
 
 
-def script_metrics(scored: DataFrame) -> DataFrame:
-    """Rounded metrics of a scored labelled table."""
-    return rounded_metrics(regression_metrics(scored))
+def training_report(training: Training) -> DataFrame:
+    """Metrics of every member and the ensemble on the test rows, with the sizes of both parts.
+
+    Members are weighed on some of the training rows, which count as such.
+    """
+    tested = F.count_if(F.col("split") == TEST)
+    sizes = training.rows.agg((F.count("*") - tested).alias("n_train"), tested.alias("n_test")).first()
+    counts = {name: F.lit(sizes[name]).cast("long") for name in ("n_train", "n_test")}
+    return training.metrics(TEST).withColumns(counts)
+
+
+def script_metrics(scored: DataFrame, n_train: int) -> DataFrame:
+    """Rounded metrics of a scored labelled table, with the sizes of both parts."""
+    metrics = rounded_metrics(regression_metrics(scored))
+    return metrics.withColumns({"n_train": F.lit(n_train).cast("long"), "n_test": F.col("rows")})

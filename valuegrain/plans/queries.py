@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Callable
+from dataclasses import replace
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,20 +25,27 @@ from valuegrain.operators.ensemble import inverse_error_weights, weighted_mean
 from valuegrain.operators.profile import STATISTICAL_COLUMNS
 from valuegrain.operators.segments import segment_analysis, segment_rows, segment_summary
 from valuegrain.operators.split import random_split, temporal_split
-from valuegrain.operators.trees import TreeModel
+from valuegrain.operators.trees import TreeModel, TreeSettings, split_gains
 from valuegrain.operators.validate import (
     apply_contract,
     violation_rows,
     with_violations,
 )
 from valuegrain.plans.features import FAMILIES, FeaturePlan
-from valuegrain.plans.value_model import TEST, evaluate_value_model
+from valuegrain.plans.jobs import script_metrics, training_report
+from valuegrain.plans.model_store import ModelStore
+from valuegrain.plans.value_model import TARGET, TEST, ValueModel, evaluate_value_model
 from valuegrain.plans.workspace import TRAINING_CUTOFF, heuristic_scores, workspace
 from valuegrain.schema import ID
 from valuegrain.session import constant_table, shared_dir
 from valuegrain.sources.exports import audience_export, write_audiences
-from valuegrain.sources.files import read_customers_csv, write_features_csv
-from valuegrain.streaming.scoring import customer_stream, route_stream, score_stream
+from valuegrain.sources.files import read_customers_csv, write_features_csv, write_report
+from valuegrain.streaming.scoring import (
+    customer_stream,
+    route_stream,
+    score_stream,
+    score_stream_by_store,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +55,13 @@ MEMBERS = ("spend_now", "spend_half_more", "spend_heuristic")
 ENCODED_NUMBERS = ["total_orders", "total_spent", "days_since_last_purchase", "return_rate"]
 ENCODED_TEXTS = ["acquisition_source", "campaign_type"]
 
+#: Thresholds of the first split's candidates.
+SPLIT_EDGES = {
+    "total_orders": [float(k) for k in range(1, 15)],
+    "total_spent": [50.0 * k for k in range(1, 16)],
+    "days_since_last_purchase": [100.0 * k for k in range(1, 11)],
+}
+
 RFM_NUMBERS = (
     "recency_score recency_normalized frequency_score frequency_log frequency_normalized "
     "monetary_score monetary_log monetary_normalized rfm_score rfm_weighted"
@@ -582,6 +598,99 @@ def feature_importance(spark, folder):
     return workspace(spark, folder).training.importance()
 
 
+def boosting_first_gains(spark, folder):
+    """What each candidate for a tree's first split gains, as a share of the best, and its leaf values."""
+    numbers = [F.col(c).cast("double").alias(c) for c in SPLIT_EDGES]
+    labelled = workspace(spark, folder).labelled.select(F.xxhash64(ID).alias("key"), TARGET, *numbers)
+    vectors = VectorAssembler(inputCols=list(SPLIT_EDGES), outputCol="features").transform(labelled)
+    gains = split_gains(
+        vectors, list(SPLIT_EDGES), list(SPLIT_EDGES.values()), TreeSettings(), label=TARGET, key="key"
+    )
+    best = gains.agg(F.max("gain").alias("best"))
+    shared = gains.join(F.broadcast(best)).withColumn("gain", F.col("gain") / F.col("best")).drop("best")
+    return rounded(rounded(shared, "gain"), "left_value", "right_value", digits=3)
+
+
+def training_report_facts(spark, folder):
+    """The training report written as JSON and read back: its sizes, and cells that differ."""
+    training = workspace(spark, folder).training
+    path = shared_dir(spark, "report")
+    report = training_report(training)
+    write_report(report, path)
+    back = spark.read.schema(report.schema).json(path)
+    single = script_metrics(training.scored(TEST), back.first()["n_train"])
+    facts = back.agg(
+        F.max("n_train").cast("double").alias("n_train"),
+        F.max("n_test").cast("double").alias("n_test"),
+        F.count("*").cast("double").alias("models"),
+        F.count_if(F.col("rows") != F.col("n_test")).cast("double").alias("other_sizes"),
+    )
+    known = back.where("model = 'ensemble'").select("n_test", "n_train", F.abs("r2").alias("r2"))
+    apart = known.join(single.select("n_test", "n_train", "rows"), ["n_test", "n_train"], "left")
+    apart = apart.agg(F.count_if(F.col("rows").isNull() | F.col("r2").isNull()).cast("double").alias("reports_apart"))
+    return facts.unpivot([], facts.columns, "name", "value").unionByName(
+        apart.unpivot([], apart.columns, "name", "value")
+    )
+
+
+def full_strategy(spark, folder):
+    """Every advertising table of the strategy in one."""
+    return audience.tidy_strategy(workspace(spark, folder).scored, BUDGET)
+
+
+def _store(spark, folder) -> tuple[ModelStore, list[ValueModel]]:
+    """A store for two versions of the trained model, which differ in their members' weights."""
+    model = workspace(spark, folder).training.model
+    members = model.ensemble.members
+    equal = replace(model.ensemble, weights={name: float(name == "ridge") for name in members})
+    return ModelStore(spark, shared_dir(spark, "store")), [model, replace(model, ensemble=equal)]
+
+
+def _differing(scored, other) -> int:
+    """Rows of two scored tables that aren't alike."""
+    columns = [ID, "predicted_clv", "predicted_segment", "recommended_cac"]
+    a, b = scored.select(*columns), other.select(*columns)
+    return a.exceptAll(b).count() + b.exceptAll(a).count()
+
+
+def saved_model_scores(spark, folder):
+    """Rows scored by a published and loaded model, and rows that differ from the model's own."""
+    store, models = _store(spark, folder)
+    rows = workspace(spark, folder).training.part(TEST)
+    store.publish(models[1])
+    store.publish(models[0])
+    loaded = store.load().score(rows)
+    facts = [
+        ("rows", float(loaded.count())),
+        ("differing", float(_differing(loaded, models[0].score(rows)))),
+        ("versions", float(store.versions().count())),
+    ]
+    return constant_table(spark, facts, "name value")
+
+
+def stream_model_scores(spark, folder):
+    """Test rows arrive in two files with a new model version published in between."""
+    store, models = _store(spark, folder)
+    rows = workspace(spark, folder).training.part(TEST)
+    halves = [rows.where(F.pmod(F.xxhash64(ID), F.lit(2)) == k) for k in (0, 1)]
+    path = shared_dir(spark, "model-stream")
+    differing = 0
+    for number, (half, model) in enumerate(zip(halves, models)):
+        version = store.publish(model)
+        half.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        arriving = customer_stream(spark, f"{path}/in", rows.schema)
+        score_stream_by_store(arriving, store, f"{path}/out", f"{path}/state").awaitTermination()
+        scored = spark.read.parquet(f"{path}/out").where(F.col("model_version") == version)
+        differing += _differing(scored, model.score(half))
+    out = spark.read.parquet(f"{path}/out")
+    facts = [
+        ("rows", float(out.count())),
+        ("differing", float(differing)),
+        ("versions", float(out.select("model_version").distinct().count())),
+    ]
+    return constant_table(spark, facts, "name value")
+
+
 # --- streams ---------------------------------------------------------------------------------
 
 
@@ -675,6 +784,11 @@ QUERIES: dict[str, Query] = {
     "ensemble_evaluation": ensemble_evaluation,
     "feature_importance": feature_importance,
     "ensemble_invariants": ensemble_invariants,
+    "boosting_first_gains": boosting_first_gains,
+    "training_report": training_report_facts,
+    "full_strategy": full_strategy,
+    "saved_model_scores": saved_model_scores,
+    "stream_model_scores": stream_model_scores,
     "stream_scores": stream_scores,
     "stream_routing": stream_routing,
 }

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from valuegrain.operators.validate import quarantined_rows, valid_rows, with_violations
+from valuegrain.plans.model_store import ModelStore
 from valuegrain.schema import CUSTOMER_SCHEMA
 from valuegrain.session import keep
 
@@ -52,6 +54,30 @@ def score_stream(
     return write_stream(score(rows), path, checkpoint, **options)
 
 
+def score_stream_by_store(
+    rows: DataFrame, store: ModelStore, path: str, checkpoint: str, *, continuous: bool = False
+) -> StreamingQuery:
+    """Score each batch with the version that is current when it begins.
+
+    The output has the version as ``model_version``. A batch's files lie in a folder of its
+    number, which a repeated batch replaces. A version is loaded once, not for each batch.
+    """
+    loaded: dict = {}
+
+    def score(batch: DataFrame, number: int) -> None:
+        version = store.current()
+        if version not in loaded:
+            loaded.clear()
+            loaded[version] = store.load(version)
+        scored = loaded[version].score(batch).withColumn("model_version", F.lit(version))
+        scored.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = rows.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint)
+    if not continuous:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
 def route_stream(
     rows: DataFrame,
     valid_path: str,
