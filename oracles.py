@@ -968,6 +968,23 @@ FROM (SELECT *, tl * tl / (left_rows + 1) + tr * tr / (right_rows + 1) - ta * ta
     )
 
 
+def _ridge() -> str:
+    """The normal equations of two features with a penalty of 1, solved by hand."""
+    return _with(
+        """
+, sums AS (
+  SELECT count(*) * var_pop(a) + 1 AS aa, count(*) * var_pop(b) + 1 AS bb, count(*) * covar_pop(a, b) AS ab,
+         count(*) * covar_pop(a, y) AS ay, count(*) * covar_pop(b, y) AS by_, avg(a) AS ma, avg(b) AS mb, avg(y) AS my
+  FROM (SELECT CAST(total_orders AS DOUBLE) AS a, days_since_last_purchase / 100.0::DOUBLE AS b, actual_clv AS y FROM base)
+), solved AS (
+  SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS ca, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM sums
+)
+SELECT 'intercept' AS term, round(my - ca * ma - cb * mb, 6) AS value FROM solved
+UNION ALL SELECT 'total_orders', round(ca, 6) FROM solved UNION ALL SELECT 'recency', round(cb, 6) FROM solved""",
+        TRAINING,
+    )
+
+
 def _test_rows(facts: str) -> str:
     """``facts`` over the number of training and test rows of the random split."""
     return _with(
@@ -1011,6 +1028,7 @@ def oracle_queries() -> dict[str, str]:
     return found | {
         "boosting_first_gains": _first_gains(),
         "full_strategy": _strategy(found),
+        "ridge_closed_form": _ridge(),
         "training_report": _test_rows(
             "('n_train', n_train), ('n_test', n_test), ('models', 6), ('other_sizes', 0), ('reports_apart', 0)"
         ),

@@ -23,6 +23,7 @@ from valuegrain.operators.clean import fit_cleaning, present_gaps
 from valuegrain.operators.encode import fit_encoder
 from valuegrain.operators.ensemble import inverse_error_weights, weighted_mean
 from valuegrain.operators.profile import STATISTICAL_COLUMNS
+from valuegrain.operators.ridge import fit_ridge
 from valuegrain.operators.segments import segment_analysis, segment_rows, segment_summary
 from valuegrain.operators.split import random_split, temporal_split
 from valuegrain.operators.trees import TreeModel, TreeSettings, split_gains
@@ -611,6 +612,17 @@ def boosting_first_gains(spark, folder):
     return rounded(rounded(shared, "gain"), "left_value", "right_value", digits=3)
 
 
+def ridge_closed_form(spark, folder):
+    """Coefficients of a ridge regression of the lifetime value on orders and recency."""
+    labelled = workspace(spark, folder).labelled.select(
+        F.col("total_orders").cast("double"), (F.col("days_since_last_purchase") / 100).alias("recency"), TARGET
+    )
+    vectors = VectorAssembler(inputCols=["total_orders", "recency"], outputCol="features").transform(labelled)
+    model = fit_ridge(vectors, TARGET, 2)
+    values = zip(("intercept", "total_orders", "recency"), (model.intercept, *model.coefficients))
+    return rounded(constant_table(spark, list(values), "term value"), "value")
+
+
 def training_report_facts(spark, folder):
     """The training report written as JSON and read back: its sizes, and cells that differ."""
     training = workspace(spark, folder).training
@@ -785,6 +797,7 @@ QUERIES: dict[str, Query] = {
     "feature_importance": feature_importance,
     "ensemble_invariants": ensemble_invariants,
     "boosting_first_gains": boosting_first_gains,
+    "ridge_closed_form": ridge_closed_form,
     "training_report": training_report_facts,
     "full_strategy": full_strategy,
     "saved_model_scores": saved_model_scores,
