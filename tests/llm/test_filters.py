@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -165,6 +166,7 @@ def test_articles_of_all_pages(spark):
         assert r.n_chars == len(r.text)
     assert html_text.extract_text(pages.limit(0)).collect() == []
 
+
 SENTENCE = "A sentence of the article, with commas, and more words to it. "
 
 
@@ -202,3 +204,67 @@ def test_named_surroundings_still_go(name):
     assert "Around" not in html_text.main_text(f"<body><div><h1>Title</h1><p>{SENTENCE * 4}</p>{around}</div></body>")
     if "comment" in name:
         assert "Around" not in html_text.main_text(f"<body><article><p>{SENTENCE * 4}</p>{around * 9}</article></body>")
+
+
+MENU = "<div><div><a>Home</a> <a>News</a></div></div>"
+STORY = f"<h1>Title</h1><p>{SENTENCE * 4}</p><p>{SENTENCE * 3}</p>"
+BODY = f"Title {SENTENCE * 7}".strip()
+
+
+def test_unnamed_surroundings_go():
+    notices = "<div>Cookies. We use them.</div><div>Copyright 2024 Us</div>"
+    assert html_text.main_text(f"{MENU}<div><div>{STORY}</div>{notices}</div>") == BODY
+    box = "<div>Sign up now</div><div>Buy it</div>"
+    assert html_text.main_text(f"<body><div><div>{STORY}</div>{box}</div></body>") == BODY
+    links = "<ul><li><a>One</a></li><li><a>Two</a></li></ul>"
+    assert html_text.main_text(f"<article>{STORY}{links}</article>") == BODY
+
+
+def test_lists_and_tables_of_text_stay():
+    inside = "<ul><li>one<li>two</ul><table><tr><td>1<td>2</table><h2>End</h2><div><pre>x = 1</pre></div>"
+    assert html_text.main_text(f"<div>{MENU}<div>{STORY}{inside}</div></div>") == f"{BODY} one two 1 2 End x = 1"
+
+
+def plain_scores(paths, texts):
+    """Path scores from lists of paths (article or not) and texts, written out."""
+    ratio = lambda p, f: sum(f(t) for q, t in zip(paths, texts) if q == p) / paths.count(p)
+    length = [ratio(p, len) for p in paths]
+    points = [1 + ratio(p, lambda t: len(re.findall(r"[.,]", t))) for p in paths]
+    at = lambda x, k: x[min(max(k, 0), len(x) - 1)]
+    smooth = lambda x, k: at(x, k - 1) / 4 + at(x, k) / 2 + at(x, k + 1) / 4
+    fused = [(smooth(length, k) * smooth(points, k)) ** 0.5 for k in range(len(paths))]
+    return {p: sum(f for q, f in zip(paths, fused) if q == p) / paths.count(p) for p in paths}
+
+
+def test_path_scores_match_the_plain_version():
+    kinds, texts = ["p", "div", "p", "h2", "div", "p"], ["a, b.", "cc", "d, e, f.", "g", "hh, i", "j."]
+    for article in (False, True):
+        body = "".join(f"<{k}>{t}</{k}>" for k, t in zip(kinds, texts))
+        tree, found = html_text.parse(f"<article>{body}</article>" if article else body)
+        nodes = [(e, t) for e, t in found if t]
+        scores = html_text.path_scores(tree, nodes, [False] * len(tree.tag))
+        factor = html_text.ARTICLE_FACTOR if article else 1
+        want = plain_scores(kinds, texts)
+        for e, _ in nodes:
+            assert scores[tree.path[e]] == pytest.approx(want[tree.tag[e]] * factor)
+
+
+def test_scores_decide(spark, monkeypatch):
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    real = [html_text.main_text(h) for h in pages]
+    monkeypatch.setattr(html_text, "path_scores", lambda tree, nodes, marked: {tree.path[e]: 1.0 for e, _ in nodes})
+    assert sum(html_text.main_text(h) != r for h, r in zip(pages, real)) == len(pages)
+    assert html_text.main_text(f"{MENU}<div><div>{STORY}</div><div>Copyright 2024 Us</div></div>") != BODY
+
+
+UNCLOSED = ["<font>word, word. ", "<p>x", "<div>a", "</b><i>x", "<ul><li>x", "<b class=menu>t", "<header>x", "<table><tr><td>x"]
+
+
+@pytest.mark.parametrize("piece", UNCLOSED)
+def test_time_is_linear_in_unclosed_tags(piece):
+    times = []
+    for n in (10_000, 40_000):
+        start = time.process_time()
+        assert isinstance(html_text.main_text("<body>" + piece * n), str)
+        times.append(time.process_time() - start)
+    assert times[1] < 10 * times[0] + 0.5
