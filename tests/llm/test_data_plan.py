@@ -169,6 +169,48 @@ def test_top_products_of_few_rows(spark):
     assert topk.top_products(frame.limit(0), 10).collect() == []
 
 
+def varied(n, seed):
+    """Vectors whose lengths fall off steeply, their queries (ids divisible by ten) among them."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 8))
+    return x / np.linalg.norm(x, axis=1)[:, None] * (40 / (1 + np.arange(n) % 997))[:, None]
+
+
+def test_most_products_of_varied_lengths_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CHUNK", 64)
+    monkeypatch.setattr(topk, "CHUNKS_PER_TASK", 2)
+    monkeypatch.setattr(topk, "QUERIES", 50)
+    x = varied(6000, 3)
+    frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    met = []
+    found = topk.met_groups
+    monkeypatch.setattr(topk, "met_groups", lambda a, c: met.append((found(a, c).count(), a.count(), c.agg({"group": "max"}).first()[0] + 1)) or found(a, c))
+    got = [tuple(r) for r in topk.top_products(frame, 10, 5).orderBy("query_id", "rank").collect()]
+    v = np.floor(x * 1024).astype(np.int64)
+    want = []
+    for q in range(0, 6000, 10):
+        scores = v @ v[q]
+        best = sorted((i for i in range(6000) if i != q), key=lambda i: (-scores[i], i))[:5]
+        want += [(q, r, i, int(scores[i])) for r, i in enumerate(best, 1)]
+    assert got == want
+    pairs, blocks, groups = met[0]
+    assert groups > 40 and blocks >= 10 and pairs < 0.5 * blocks * groups
+
+
+def test_chunks_skip_products_below_the_floors():
+    x = np.floor(varied(2000, 4) * 1024).astype(np.int64)
+    norms = np.linalg.norm(x.astype(float), axis=1)
+    order = np.argsort(-norms)
+    x, norms = x[order], norms[order]
+    none = np.full(20, -np.inf)
+    best = topk._Best(np.arange(20), x[:20], norms[:20], none, 5)
+    for at in range(0, 2000, 100):
+        best.add(np.arange(at, at + 100), x[at : at + 100], norms[at : at + 100], norms[at])
+    assert best.verified < 0.3 * 20 * 2000
+    top = np.sort(x[:20] @ x.T - np.where(np.eye(20, 2000) > 0, 1 << 40, 0), axis=1)[:, ::-1][:, :5]
+    assert (best.scores == top).all()
+
+
 def test_long_runs_are_packed_as_the_library_encodes_them(spark):
     n = 1_200_000
     runs = [" " * n, "\n" * n, "ab" * (n // 2), "some text" + " " * n + "end", "a b c\n" + "\n" * n + "x y", None]
