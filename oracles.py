@@ -659,6 +659,7 @@ def _base_queries() -> dict[str, str]:
     campaigns = _values(CAMPAIGNS)
     return {
         "customer_base": _with(f"{_shown()} FROM base", BASE),
+        "customers_incremental": _with(f"{_shown()} FROM base", BASE),
         "training_base": _with(f"{_shown()} FROM base", TRAINING),
         "customers_csv_round_trip": _with(f"{_shown()} FROM base", BASE),
         "clean_customers": _with(f"{_shown(', ' + lively)} FROM clean", BASE, CLEAN),

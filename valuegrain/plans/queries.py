@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -41,6 +42,7 @@ from valuegrain.schema import ID
 from valuegrain.session import constant_table, shared_dir
 from valuegrain.sources.exports import audience_export, write_audiences
 from valuegrain.sources.files import read_customers_csv, write_features_csv, write_report
+from valuegrain.sources.increments import CustomerStore, customers_of, partial_aggregates
 from valuegrain.streaming.scoring import (
     customer_stream,
     route_stream,
@@ -93,6 +95,18 @@ def customer_base(spark, folder):
     return portable(workspace(spark, folder).build())
 
 
+def customers_incremental(spark, folder):
+    """The customer table of two batches of facts, merged in the store; lines may come before or after their orders."""
+    facts = workspace(spark, folder).facts
+    owners = facts["orders"].select("o_orderkey", "o_custkey")
+    keys = {"orders": "o_orderkey", "lineitem": "l_partkey", "events": "user_id"}
+    store = CustomerStore(spark, f"customer_partials_{uuid.uuid4().hex}", buckets=8)
+    for batch in (1, 2):
+        arrived = {name: facts[name].filter(F.pmod(F.xxhash64(F.col(key)), F.lit(2)) == batch - 1) for name, key in keys.items()}
+        partials = store.merge_in(partial_aggregates(facts | arrived, owners), batch)
+    return portable(customers_of(partials, facts["customer"]))
+
+
 def training_base(spark, folder):
     return portable(workspace(spark, folder).build(cutoff=TRAINING_CUTOFF, with_target=True))
 
@@ -732,6 +746,7 @@ def stream_routing(spark, folder):
 
 QUERIES: dict[str, Query] = {
     "customer_base": customer_base,
+    "customers_incremental": customers_incremental,
     "training_base": training_base,
     "customers_csv_round_trip": customers_csv_round_trip,
     "clean_customers": clean_customers,

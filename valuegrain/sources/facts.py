@@ -59,13 +59,10 @@ def build_customers(
     if cutoff is not None:
         stored_type = facts["orders"].schema["o_orderdate"].dataType
         in_window = ordered < F.lit(cutoff).cast(stored_type)
-    priority = F.lit(len(CAMPAIGN_OF_PRIORITY))
-    for code, name in enumerate(CAMPAIGN_OF_PRIORITY):
-        priority = F.when(F.col("o_orderpriority") == name, code).otherwise(priority)
     orders = facts["orders"].select(
         "o_orderkey",
         "o_custkey",
-        priority.alias("priority"),
+        priority_code("o_orderpriority").alias("priority"),
         F.to_date("o_orderdate").alias("day"),
         in_window.alias("in_window"),
         F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"),
@@ -86,10 +83,7 @@ def build_customers(
 
     # Numbers of fixed width keep this a hash aggregate: the first order is the one of the
     # smallest (day, order key), packed into one decimal, and its priority is a code.
-    placed = (
-        F.unix_date("day").cast("decimal(10,0)") * F.lit(str(ORDER_KEYS)).cast("decimal(20,0)")
-        + F.col("o_orderkey").cast("decimal(20,0)")
-    )
+    placed = first_order("day", "o_orderkey")
     order_facts = source.groupBy("o_custkey").agg(
         F.count(windowed(F.col("o_orderkey"))).alias("total_orders"),
         F.sum(windowed(F.col("cents"))).alias("cents"),
@@ -111,6 +105,33 @@ def build_customers(
             _email_facts(facts), F.col("o_custkey") == F.col("user_id"), "left"
         )
 
+    columns = customer_columns(snapshot, money_unit)
+    if cutoff is None:
+        columns.append(F.col("email_engagement_rate"))
+    columns.append(F.col("return_rate"))
+    if with_target:
+        lifetime = F.col("lifetime_cents").cast("double") / F.lit(100.0 * money_unit)
+        columns.append(lifetime.alias("actual_clv"))
+    return joined.select(*columns)
+
+
+def first_order(day: str, order: str) -> Column:
+    """The place of an order in time: (day, order key) as one decimal of fixed width."""
+    return F.unix_date(day).cast("decimal(10,0)") * F.lit(str(ORDER_KEYS)).cast("decimal(20,0)") + F.col(order).cast(
+        "decimal(20,0)"
+    )
+
+
+def priority_code(priority: str) -> Column:
+    """An order's priority as the number of its campaign."""
+    code = F.lit(len(CAMPAIGN_OF_PRIORITY))
+    for number, name in enumerate(CAMPAIGN_OF_PRIORITY):
+        code = F.when(F.col(priority) == name, number).otherwise(code)
+    return code
+
+
+def customer_columns(snapshot: Column, money_unit: float) -> list[Column]:
+    """The customer's columns, but those of events and returns, from its aggregates."""
     spent = F.col("cents").cast("double") / F.lit(100.0 * money_unit)
     first_day = F.col("first_day")
     campaigns = dict(enumerate(CAMPAIGN_OF_PRIORITY.values()))
@@ -119,7 +140,7 @@ def build_customers(
         acquired_by.isin(*PAID_SOURCES),
         _choose(F.col("first_priority"), campaigns, "Prospecting"),
     ).otherwise("None")
-    columns = [
+    return [
         F.format_string("CUST_%012d", "o_custkey").alias("customer_id"),
         first_day.alias("first_purchase_date"),
         F.col("last_day").alias("last_purchase_date"),
@@ -134,13 +155,6 @@ def build_customers(
         campaign.alias("campaign_type"),
         (F.greatest(F.col("c_acctbal"), F.lit(0.0)) / COST_UNIT).alias("acquisition_cost"),
     ]
-    if cutoff is None:
-        columns.append(F.col("email_engagement_rate"))
-    columns.append(F.col("return_rate"))
-    if with_target:
-        lifetime = F.col("lifetime_cents").cast("double") / F.lit(100.0 * money_unit)
-        columns.append(lifetime.alias("actual_clv"))
-    return joined.select(*columns)
 
 
 def _line_facts(facts: dict[str, DataFrame], observed: DataFrame) -> DataFrame:
