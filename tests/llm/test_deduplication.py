@@ -2,6 +2,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm import plain
+import pytest
+
 from valuegrain.llm import simhash, suffix_dedup
 from valuegrain.llm.components import connected_components
 
@@ -132,3 +134,52 @@ def test_a_very_common_passage_and_an_empty_table(spark, rng):
     texts = {i: f"start{i} {passage} end{i} {i}" for i in range(300)}
     assert _passages(spark, texts) == {i: [(1, 61)] for i in texts}
     assert suffix_dedup.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def _classes(texts):
+    """(doc, start) of each stretch with the least document of its class, by comparing all windows."""
+    spans = [(i, a, b) for i, found in plain.repeated(texts).items() for a, b in found]
+    held = [{tuple(texts[i].split()[k : k + 50]) for k in range(a, b - 49)} for i, a, b in spans]
+    root = list(range(len(spans)))
+    changed = True
+    while changed:
+        changed = False
+        for x in range(len(spans)):
+            for y in range(x):
+                if root[x] != root[y] and held[x] & held[y]:
+                    root = [min(root[x], root[y]) if r in (root[x], root[y]) else r for r in root]
+                    changed = True
+    members = lambda r: [spans[k][0] for k in range(len(spans)) if root[k] == r]
+    return {(i, a): (min(members(r)), len(members(r))) for (i, a, b), r in zip(spans, root)}
+
+
+def test_classes_join_pairs_of_one_passage(spark, rng):
+    words = lambda n: [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+    passage, texts = words(50), {}
+    for pair in range(4):
+        left, right = words(30), words(30)
+        for k in (0, 1):
+            texts[2 * pair + k] = " ".join([*words(40), *left, *passage, *right, *words(40)])
+    for k in range(600):
+        cut = rng.randrange(1, 50)
+        texts[8 + k] = " ".join([*words(30), *(passage[cut:] if k % 2 else passage[:cut]), *words(30)])
+    texts[1000] = texts[1001] = " ".join(words(60))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {(r.doc_id, r.start): (r.class_id, r.class_size) for r in suffix_dedup.repeated_passages(frame).collect()}
+    assert found == {(i, 40): (0, 8) for i in range(8)} | {(1000, 0): (1000, 2), (1001, 0): (1000, 2)}
+
+
+@pytest.mark.parametrize("met", [0, 1 << 20])
+def test_classes_match_the_plain_version(spark, rng, monkeypatch, met):
+    monkeypatch.setattr(suffix_dedup, "MET_WINDOWS", met)
+    pool = [[f"p{k}x{rng.randrange(1 << 40)}" for _ in range(60 + 10 * k)] for k in range(6)]
+    texts = {}
+    for i in range(60):
+        pieces = []
+        for k in (rng.randrange(6), rng.randrange(6)):
+            at = rng.randrange(15)
+            pieces += [*(f"u{rng.randrange(1 << 40)}" for _ in range(rng.randrange(5, 40))), *pool[k][at : at + 55]]
+        texts[i] = " ".join(pieces)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {(r.doc_id, r.start): (r.class_id, r.class_size) for r in suffix_dedup.repeated_passages(frame).collect()}
+    assert found == _classes(texts)

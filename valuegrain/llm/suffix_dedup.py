@@ -10,6 +10,10 @@ A nearest neighbour agrees longest on the side that was sorted by, so the two or
 any match at a minimiser can reach. Where the matches found fall short of that reach, a third
 document may hide behind the neighbours: there the windows of MINIMUM words around the minimiser
 are compared by hash with those of all documents that have the same run, so nothing is lost.
+
+Neighbours alone don't tell which documents share a passage. Every window of MINIMUM words of the
+stretches found is therefore linked by hash to the least stretch that holds it, and the connected stretches
+form a class. Exact copies of a text are hashed once.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from valuegrain.llm.bytewords import Words, word_slices
+from valuegrain.llm.components import connected_components
 from valuegrain.llm.simhash import xxh64_spans
 from valuegrain.llm.tables import only, stored
 
@@ -34,6 +39,8 @@ KGRAM = 8
 WORD_BYTES = 3
 #: Open runs that are sent to every task at most; more of them are joined by a shuffle.
 SENT_RUNS = 100_000
+#: Windows that a task gathers before it links those of equal hash and passes each on once.
+MET_WINDOWS = 2_000_000
 _REACH = MINIMUM - KGRAM
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -336,12 +343,71 @@ def _hidden_matches(contexts: DataFrame, places: DataFrame) -> DataFrame:
     )
 
 
+def _linked_windows(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
+    """(window, node, other): each window once with its first node; without window, links between nodes."""
+    every, owner = np.concatenate(keys), np.concatenate(nodes)
+    windows, first, back = np.unique(every, return_index=True, return_inverse=True)
+    others = owner[first][back]
+    links = np.unique(np.stack([owner, others], axis=1)[owner != others], axis=0)
+    none = len(links)
+    arrays = [
+        pa.concat_arrays([pa.array(windows.view(np.int64)), pa.nulls(none, pa.int64())]),
+        pa.array(np.concatenate([owner[first], links[:, 0]])),
+        pa.concat_arrays([pa.nulls(len(windows), pa.int64()), pa.array(links[:, 1])]),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, names=["window", "node", "other"])
+
+
+def _stretch_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of MINIMUM words of the stretches of each text, linked where they meet in one task."""
+    keys, nodes = [], []
+    for batch in batches:
+        spans = batch.column(0)
+        for words in word_slices(batch.column(1)):
+            hashes = _word_hashes(words)
+            for d in range(words.texts):
+                own = run_hashes(hashes[words.bounds[d] : words.bounds[d + 1]], MINIMUM)
+                for span in spans[words.first + d].as_py():
+                    keys.append(own[span["start"] : span["end"] - MINIMUM + 1])
+                    nodes.append(np.full(len(keys[-1]), span["node"], np.int64))
+            if sum(map(len, keys)) > MET_WINDOWS:
+                yield _linked_windows(keys, nodes)
+                keys, nodes = [], []
+    if keys:
+        yield _linked_windows(keys, nodes)
+
+
+def passage_classes(rows: DataFrame, stretches: DataFrame) -> DataFrame:
+    """The stretches (row, start, end, ...) with ``class_row``, the same for those connected by shared windows.
+
+    Stretches that share MINIMUM words with one another, directly or through others, are one class.
+    Equal places of equal texts are one node, and one row of each text gives the windows.
+    """
+    twins = rows.select("row", F.xxhash64("text").alias("twin")).distinct().join(stretches.select("row").distinct(), "row")
+    twins = stored(twins, "twins")
+    noded = stored(stretches.join(twins, "row").withColumn("node", F.xxhash64("twin", "start")), "stretches")
+    firsts = twins.groupBy("twin").agg(F.min("row").alias("row")).select("row")
+    spans = noded.join(firsts, "row", "left_semi").groupBy("row").agg(F.collect_list(F.struct("start", "end", "node")).alias("spans"))
+    texts = rows.dropDuplicates(["row"]).join(spans, "row").select("spans", "text")
+    found = stored(texts.mapInArrow(_stretch_windows, "window long, node long, other long"), "windows")
+    windows = found.filter("window is not null").select("window", "node")
+    least = windows.groupBy("window").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b")
+    # Written out, so that Spark can split the join at a hot window.
+    least = stored(least.select("window", "a"), "shared-windows")
+    edges = windows.join(least, "window").select("a", F.col("node").alias("b")).filter("a != b")
+    met = found.filter("window is null").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    parts = connected_components(edges.union(met).distinct())
+    return noded.join(parts, "node", "left").withColumn("class_row", F.coalesce("component", "node")).drop("component", "twin", "node")
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end, n_words, partners of each stretch of words that repeats elsewhere.
+    """doc_id, start, end, n_words, partners, class_id, class_size of each stretch of words that repeats elsewhere.
 
     A stretch is a union of overlapping passages of MINIMUM words or more that occur in another
     document as well; words are numbered from 0, the end lies outside. ``partners`` are the
-    documents it was matched with (one at least for each passage, not all that share it).
+    documents it was matched with (one at least for each passage, not all that share it). Stretches that
+    share a passage, directly or through others, have one ``class_id``, the least doc_id among them
+    (null if none has one), and ``class_size``, their number. Texts of any length are read whole.
     Null, empty and short texts have none. Rows that repeat both id and text count as one; rows
     with another id or without one are documents of their own. An empty table gives no rows.
     """
@@ -360,7 +426,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     reach = "max(end) over (partition by row order by start, end rows between unbounded preceding and 1 preceding)"
     fresh = matches.withColumn("starts", (F.col("start") > F.coalesce(F.expr(reach), F.lit(-1))).cast("int"))
     number = "sum(starts) over (partition by row order by start, end, starts desc rows unbounded preceding)"
-    return (
+    stretches = (
         fresh.withColumn("stretch", F.expr(number))
         .groupBy("row", "stretch")
         .agg(
@@ -369,5 +435,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
             F.max("end").alias("end"),
             F.sort_array(F.collect_set("partner")).alias("partners"),
         )
-        .select("doc_id", "start", "end", (F.col("end") - F.col("start")).alias("n_words"), "partners")
     )
+    classed = stored(passage_classes(rows, stretches.drop("stretch")), "classed")
+    sizes = classed.groupBy("class_row").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    sizes = stored(sizes, "classes")
+    width = (F.col("end") - F.col("start")).alias("n_words")
+    return classed.join(sizes, "class_row").select("doc_id", "start", "end", width, "partners", "class_id", "class_size")
