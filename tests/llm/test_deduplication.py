@@ -2,8 +2,6 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm import plain
-import pytest
-
 from valuegrain.llm import simhash, suffix_dedup
 from valuegrain.llm.components import connected_components
 
@@ -169,9 +167,14 @@ def test_classes_join_pairs_of_one_passage(spark, rng):
     assert found == {(i, 40): (0, 8) for i in range(8)} | {(1000, 0): (1000, 2), (1001, 0): (1000, 2)}
 
 
-@pytest.mark.parametrize("met", [0, 1 << 20])
-def test_classes_match_the_plain_version(spark, rng, monkeypatch, met):
-    monkeypatch.setattr(suffix_dedup, "MET_WINDOWS", met)
+def test_windows_that_meet_are_linked_and_passed_on_once():
+    keys = [np.array(k, np.uint64) for k in ([1, 2, 2], [2, 3], [3], [9])]
+    out = suffix_dedup._linked_windows(keys, [np.full(len(k), n) for n, k in enumerate(keys)]).to_pylist()
+    assert {r["window"]: r["node"] for r in out if r["window"] is not None} == {1: 0, 2: 0, 3: 1, 9: 3}
+    assert {(r["node"], r["other"]) for r in out if r["window"] is None} == {(1, 0), (2, 1)}
+
+
+def test_classes_match_the_plain_version(spark, rng):
     pool = [[f"p{k}x{rng.randrange(1 << 40)}" for _ in range(60 + 10 * k)] for k in range(6)]
     texts = {}
     for i in range(60):
