@@ -186,3 +186,30 @@ def test_classes_match_the_plain_version(spark, rng):
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     found = {(r.doc_id, r.start): (r.class_id, r.class_size) for r in suffix_dedup.repeated_passages(frame).collect()}
     assert found == _classes(texts)
+
+
+def test_stored_pivot_tables_equal_the_distances(spark):
+    values = np.random.default_rng(2).integers(-(2**63), 2**63, 300)
+    frame = simhash.with_pivot_table(spark.createDataFrame([(int(v),) for v in values], "fp long"))
+    rows = frame.toPandas()
+    got = simhash.unpacked([rows[c].to_numpy() for c in simhash.TABLE])
+    assert got.shape == (300, simhash.PIVOTS)
+    assert (got == simhash.distances(rows["fp"].to_numpy().view(np.uint64))).all()
+
+
+def test_links_depend_on_the_pivot_tables():
+    """A pair goes without a look at its bits if its tables lie too far apart, in groups of any size."""
+    values = np.array([5, 4, 5 + 2**40, 7], np.uint64)
+    table = simhash.distances(values)
+    assert len(simhash.pivot_links(values, 3, table=table)[0]) == 6
+    assert list(simhash._pair_links(values, table, np.array([0, 2]), 3)) == [0, 2]
+    table[1, 9] += 9
+    assert len(simhash.pivot_links(values, 3, table=table)[0]) == 3
+    assert list(simhash._pair_links(values, table, np.array([0, 2]), 3)) == [2]
+
+
+def test_repeated_rows_of_one_component_leave_one(spark):
+    rows = [(2, "a b c"), (2, "a b c"), (1, None), (3, " "), (None, "a b c"), (None, "x y z"), (None, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = simhash.drop_near_duplicates(docs).collect()
+    assert sorted(kept, key=str) == sorted([rows[0], rows[2], rows[5]], key=str)

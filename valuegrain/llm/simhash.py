@@ -1,9 +1,9 @@
 """SimHash fingerprints and their links within a Hamming radius, by pivot distance tables.
 
-Every fingerprint has a table of Hamming distances to fixed reference fingerprints (pivots). Two
-fingerprints within the radius differ by at most the radius in each coordinate (triangle
-inequality), so pairs whose largest coordinate difference exceeds it go without a look at the
-fingerprints; the rest is verified by counting bits.
+Every fingerprint is stored with a table of Hamming distances to fixed reference fingerprints
+(pivots), computed once. Two fingerprints within the radius differ by at most the radius in each
+coordinate (triangle inequality), so pairs whose largest coordinate difference exceeds it go
+without a look at the fingerprints; the rest is verified by counting bits.
 
 Distances to any reference lie close together, so pivots alone can't spread fingerprints over a
 cluster. Pairs therefore meet in groups: of five blocks of bits, two at least are equal in any
@@ -15,12 +15,13 @@ group returns is a spanning forest of its links, never all of its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +35,8 @@ RADIUS = 3
 #: Widths of the blocks of bits; RADIUS of them can differ, the others are equal.
 BLOCKS = (13, 13, 13, 13, 12)
 PIVOTS = 16
+#: The stored pivot table: columns of eight distances, one in each byte.
+TABLE = ("pivots_0", "pivots_1")
 #: Fingerprints of a chunk; a larger group becomes pairs of chunks.
 CHUNK = 2048
 
@@ -129,13 +132,35 @@ def pivots(count: int = PIVOTS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b"pivot %d" % k, SEED) for k in range(count)], np.uint64)
 
 
-def pivot_links(values: np.ndarray, radius: int, piece: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within the radius among the values of one group.
+def with_pivot_table(values: DataFrame, fp: str = "fp") -> DataFrame:
+    """The rows with their distances to the pivots, packed into the columns of TABLE."""
+    signed = [int(p) for p in pivots().view(np.int64)]
+
+    def packed(some: list[int]) -> Column:
+        far = [F.bit_count(F.col(fp).bitwiseXOR(F.lit(p).cast("long"))).cast("long") for p in some]
+        return reduce(Column.bitwiseOR, [F.shiftleft(d, 8 * k) for k, d in enumerate(far)])
+
+    return values.withColumns({name: packed(signed[8 * k : 8 * k + 8]) for k, name in enumerate(TABLE)})
+
+
+def unpacked(columns: list[np.ndarray]) -> np.ndarray:
+    """One row of distances for each value, from the columns of TABLE."""
+    return np.stack(columns, axis=1).astype("<i8").view(np.int8)
+
+
+def distances(values: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(values[:, None] ^ pivots()[None, :]).astype(np.int8)
+
+
+def pivot_links(
+    values: np.ndarray, radius: int, piece: int = 1 << 18, table: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within the radius among the values of one group, whose pivot table is given.
 
     Sorted by the first pivot's distance, each value meets those at most the radius further on;
     the other pivots discard pairs by coordinate difference, then bits are counted.
     """
-    table = np.bitwise_count(values[:, None] ^ pivots()[None, :]).astype(np.int16)
+    table = distances(values) if table is None else table
     order = np.argsort(table[:, 0], kind="stable")
     table, sorted_values = table[order], values[order]
     end = np.searchsorted(table[:, 0], table[:, 0] + radius, "right")
@@ -156,9 +181,15 @@ def pivot_links(values: np.ndarray, radius: int, piece: int = 1 << 18) -> tuple[
     return np.concatenate(left), np.concatenate(right)
 
 
-def _forest(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _pair_links(values: np.ndarray, table: np.ndarray, first: np.ndarray, radius: int) -> np.ndarray:
+    """Of the groups of two that begin at the given places, those whose values link."""
+    kept = first[np.abs(table[first] - table[first + 1]).max(axis=1, initial=0) <= radius]
+    return kept[np.bitwise_count(values[kept] ^ values[kept + 1]) <= radius]
+
+
+def _forest(values: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of a group as edges from each linked value to its class's first one."""
-    a, b = pivot_links(values, radius)
+    a, b = pivot_links(values, radius, table=table)
     label = np.arange(len(values))
     while True:
         low = np.minimum(label[a], label[b])
@@ -176,20 +207,20 @@ def _forest(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 def _group_edges(radius: int):
     keys = ("table", "block", "one", "other")
 
-    def links(table: pa.Table) -> pa.RecordBatch | None:
-        columns = [table.column(k).to_numpy() for k in keys]
-        values = table.column("fp").to_numpy().view(np.uint64)
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        columns = [rows.column(k).to_numpy() for k in keys]
+        values = rows.column("fp").to_numpy().view(np.uint64)
+        table = unpacked([rows.column(k).to_numpy() for k in TABLE])
         new = np.zeros(len(values), bool)
         new[0] = True
         for c in columns:
             new[1:] |= c[1:] != c[:-1]
         starts = np.flatnonzero(new)
         sizes = np.diff(np.append(starts, len(values)))
-        pair = starts[sizes == 2]
-        pair = pair[np.bitwise_count(values[pair] ^ values[pair + 1]) <= radius]
+        pair = _pair_links(values, table, starts[sizes == 2], radius)
         a, b = [values[pair]], [values[pair + 1]]
         for start, size in zip(starts[sizes > 2], sizes[sizes > 2]):
-            x, y = _forest(values[start : start + size], radius)
+            x, y = _forest(values[start : start + size], table[start : start + size], radius)
             a.append(x)
             b.append(y)
         a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
@@ -225,57 +256,70 @@ def _masks() -> list[int]:
 def fingerprint_edges(values: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all values of column ``fp`` linked within RADIUS bits.
 
-    ``values`` has each fingerprint once. The edges span the links: two values are connected by
+    ``values`` has each fingerprint once, with its pivot table if that is stored. The edges span the links: two values are connected by
     them if and only if a chain of links connects them.
     """
+    if TABLE[0] not in values.columns:
+        values = with_pivot_table(values)
     masks = [m - (1 << 64) if m >> 63 else m for m in _masks()]
     entries = [
         F.struct(F.lit(k).alias("table"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("block"))
         for k, m in enumerate(masks)
     ]
-    keyed = values.select("fp", F.inline(F.array(*entries)))
+    keyed = values.select("fp", *TABLE, F.inline(F.array(*entries)))
     groups = keyed.groupBy("table", "block").agg(F.count("*").alias("size")).filter("size > 1")
     met = (
         keyed.join(groups, ["table", "block"])
         .withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("fp", "table"), F.col("chunks")).cast("int"))
         .withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("table", "block", F.least("own", "mate").alias("one"), F.greatest("own", "mate").alias("other"), "fp")
+        .withColumns({"one": F.least("own", "mate"), "other": F.greatest("own", "mate")})
+        .select("table", "block", "one", "other", "fp", *TABLE)
     )
     keys = ["table", "block", "one", "other"]
     dealt = met.repartition(*keys).sortWithinPartitions(*keys, "fp")
     return dealt.mapInArrow(_group_edges(RADIUS), "a long, b long")
 
 
+def _placed(marked: DataFrame) -> DataFrame:
+    """The rows of a stored frame (doc_id, fp, others) with their component_id."""
+    values = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    values = stored(with_pivot_table(values), "distinct-fingerprints")
+    linked = connected_components(fingerprint_edges(values.select("fp", *TABLE)))
+    linked = linked.select(F.col("node").alias("fp"), "component")
+    labelled = values.select("fp", "least").join(linked, "fp", "left")
+    labelled = labelled.withColumn("component", F.coalesce("component", "fp"))
+    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    places = labelled.join(least, "component").select("fp", "component_id")
+    return marked.join(places, "fp")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp (long) and component_id of every row: the smallest doc_id reachable by links.
 
-    Null and blank texts have fingerprint zero and link like any other. Rows that repeat, with or
-    without an id, get the component of their fingerprint; a component in which no row has an id
-    has none. An empty table gives no rows. Other columns are not looked at.
+    Null and blank texts have fingerprint zero and link like any other. Very long texts are taken
+    whole, in pieces. Rows that repeat, with or without an id, get the component of their
+    fingerprint; a component in which no row has an id has none. An empty table gives no rows.
+    Other columns are not looked at.
     """
     rows = only(docs, doc_id, text).toDF("doc_id", "text")
     marked = stored(with_fingerprint(rows, "fp").select("doc_id", "fp"), "fingerprints")
-    values = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    linked = connected_components(fingerprint_edges(values.select("fp")))
-    linked = linked.select(F.col("node").alias("fp"), "component")
-    labelled = values.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    placed = labelled.join(least, "component").select("fp", "component_id")
-    return marked.join(placed, "fp").select("doc_id", "fp", "component_id")
+    return _placed(marked).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each component, the one with the smallest doc_id; columns as before.
 
     Rows without an id stay only if none of their component has one. Rows that repeat both id and
-    fingerprint count as one.
+    fingerprint count as one. An empty table gives no rows. The rows are stored once with their
+    fingerprint and a place, so that texts are fingerprinted once and then picked by place.
     """
-    placed = near_duplicates(docs)
-    first = placed.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp")).alias("kept")
+    fp, at = fresh(docs, "fp"), fresh(docs, "at")
+    marked = stored(with_fingerprint(docs, fp).withColumn(at, F.monotonically_increasing_id()), "marked")
+    placed = _placed(marked.select("doc_id", F.col(fp).alias("fp"), F.col(at).alias("at")))
+    # Without an id in its component, a row stands for its fingerprint alone.
+    alone = F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")
+    first = placed.groupBy("component_id", alone).agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", "at")).alias("kept")
     )
-    fp, kept = fresh(docs, "fp"), first.select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.fp").alias("kept_fp"))
-    marked = with_fingerprint(docs, fp)
-    same = marked["doc_id"].eqNullSafe(kept["kept_id"]) & (marked[fp] == kept["kept_fp"])
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", fp]).select(*docs.columns)
+    return marked.join(first.select(F.col("kept.at").alias(at)), at, "left_semi").select(*docs.columns)
