@@ -783,6 +783,17 @@ def _base_queries() -> dict[str, str]:
         "customer_lookup": _scored(
             f"SELECT {VIEW} FROM scored WHERE customer_id = 'CUST_000000000042'"
         ),
+        "stored_customer_search": _scored(
+            f"SELECT {VIEW}, term FROM scored, (VALUES ('ADS'), ('st_00000000001'), ('no such part')) t(term) "
+            "WHERE contains(lower(customer_id), lower(term)) OR contains(lower(acquisition_source), lower(term))"
+        ),
+        "stored_customer_lookup": _scored(
+            f"SELECT {VIEW} FROM scored WHERE customer_id = 'CUST_000000000042'"
+        ),
+        "stored_customer_segment": _scored(
+            f"SELECT {VIEW} FROM scored WHERE predicted_segment = 'High-CLV' "
+            "AND acquisition_source = 'Email' AND predicted_clv >= 600"
+        ),
         "top_customers": _scored(
             f"SELECT {VIEW} FROM scored ORDER BY predicted_clv DESC, customer_id LIMIT 5"
         ),

@@ -55,6 +55,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 BUDGET = 100_000.0
 EXPORT_DATE = datetime.date(2026, 1, 15)
 MEMBERS = ("spend_now", "spend_half_more", "spend_heuristic")
+SEARCHED = ("ADS", "st_00000000001", "no such part")
 ENCODED_NUMBERS = ["total_orders", "total_spent", "days_since_last_purchase", "return_rate"]
 ENCODED_TEXTS = ["acquisition_source", "campaign_type"]
 
@@ -369,6 +370,25 @@ def customer_lookup(spark, folder):
     return customers.find_customer(scored.select(*SHOWN), "CUST_000000000042")
 
 
+def _views(spark, folder):
+    return workspace(spark, folder).views(SHOWN)
+
+
+def stored_customer_search(spark, folder):
+    """Customers by parts of their source or id, through the postings."""
+    views = _views(spark, folder)
+    found = [views.search(term).withColumn("term", F.lit(term)) for term in SEARCHED]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def stored_customer_lookup(spark, folder):
+    return _views(spark, folder).find("CUST_000000000042")
+
+
+def stored_customer_segment(spark, folder):
+    return _views(spark, folder).filtered(segment="High-CLV", source="Email", min_value=600.0)
+
+
 def top_customers(spark, folder):
     return customers.top_customers(workspace(spark, folder).scored.select(*SHOWN))
 
@@ -777,6 +797,9 @@ QUERIES: dict[str, Query] = {
     "customers_search": customers_search,
     "customers_filtered": customers_filtered,
     "customer_lookup": customer_lookup,
+    "stored_customer_search": stored_customer_search,
+    "stored_customer_lookup": stored_customer_lookup,
+    "stored_customer_segment": stored_customer_segment,
     "top_customers": top_customers,
     "heuristic_scores": heuristic_scores_table,
     "segment_customers": segment_customers,

@@ -14,6 +14,7 @@ from valuegrain.operators.segments import score_columns
 from valuegrain.plans.features import FeaturePlan, fit_features
 from valuegrain.plans.value_model import Training, train_value_model
 from valuegrain.session import keep, prepare_session
+from valuegrain.sources.customer_views import CustomerViews, publish_customers
 from valuegrain.sources.facts import build_customers, read_facts
 
 TRAINING_CUTOFF = "2000-01-01"
@@ -43,6 +44,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = prepare_session(spark)
         self.folder = folder
+        self._views: dict[tuple[str, ...], CustomerViews] = {}
 
     @cached_property
     def facts(self) -> dict[str, DataFrame]:
@@ -71,6 +73,13 @@ class Workspace:
     def scored(self) -> DataFrame:
         return keep(heuristic_scores(self.cleaned))
 
+    def views(self, columns: list[str]) -> CustomerViews:
+        """The named columns of the scored customers, published once for lookups and search."""
+        key = tuple(columns)
+        if key not in self._views:
+            self._views[key] = publish_customers(self.scored.select(*columns))
+        return self._views[key]
+
     @cached_property
     def labelled(self) -> DataFrame:
         """Customers as of the training cutoff with their lifetime value."""
