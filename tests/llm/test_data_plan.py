@@ -222,3 +222,23 @@ def test_rows_with_null_ids_are_packed_each(spark):
     docs = spark.createDataFrame([(None, "one two")] * 3 + [(None, None)], "doc_id long, text string")
     rows = packing.pack(docs).collect()
     assert sorted(r.doc_tokens for r in rows) == [1, 3, 3, 3]
+
+
+def test_rows_alike_but_for_other_columns_are_mixed_apart(spark):
+    """Equal ids, sources and texts keep their own columns; joined keys that agree don't mix rows up."""
+    schema = "doc_id string, source string, text string, note string, tags array<string>"
+    alike = [("1", "s", "one two three", f"n{i}", ["t", None]) for i in range(6)]
+    clash = [("a:b", "c", "x y", None, None), ("a", "b:c", "x y", None, None)]
+    docs = spark.createDataFrame(alike + clash + [alike[0], (None, None, None, None, None)], schema)
+    taken = {}
+    for r in mixing.mix(docs, mixing._rest(docs)).collect():
+        taken[r.doc_id, r.source] = taken.get((r.doc_id, r.source), 0) + r.taken
+    got = mixing.apply_mix(docs.repartition(3)).collect()
+    words = {}
+    for r in got:
+        words[r.doc_id, r.source] = words.get((r.doc_id, r.source), 0) + len(r.text.split())
+    assert words == {k: n for k, n in taken.items() if n}
+    whole = {r.note for r in got if r.doc_id == "1"}
+    assert whole == {f"n{i}" for i in range(6)}
+    assert {(r.doc_id, r.source) for r in got if r.note is None} == {("a:b", "c"), ("a", "b:c")}
+    assert mixing.apply_mix(docs.limit(0)).collect() == []

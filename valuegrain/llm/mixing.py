@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from valuegrain.llm.nativewords import count_words, words
-from valuegrain.llm.tables import fresh, let, only, stored
+from valuegrain.llm.tables import fresh, let, stored
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -69,7 +69,13 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def _rest(docs: DataFrame) -> Column:
+    """A hash of all columns but the text: rows alike in it and in their key are alike in all columns."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]
+    return F.xxhash64(F.to_json(F.struct(*others)))
+
+
+def mix(docs: DataFrame, rest: Column | None = None) -> DataFrame:
     """doc_id, size, source, source_size, target, taken of every row, and the words its epochs take.
 
     ``first`` and ``again`` are the words taken in the first and the second pass over a source;
@@ -77,12 +83,12 @@ def mix(docs: DataFrame) -> DataFrame:
     that order until the target, rounded to whole words, is reached, so the row at the end is
     taken in part and the words taken are the target exactly. Equal rows have equal keys and sizes, so the
     result doesn't depend on their order. Null text has size zero and is never taken. Null
-    sources are one source, the last. An empty table gives no rows.
+    sources are one source, the last. An empty table gives no rows. ``rest`` tells rows of equal
+    keys apart and is returned as well.
     """
+    told = [] if rest is None else [rest.alias("rest")]
     rows = stored(
-        only(docs, "doc_id", "text", "source").select(
-            "doc_id", "source", count_words(F.col("text")).alias("size"), _key().alias("key")
-        ),
+        docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), _key().alias("key"), *told),
         "sizes",
     ).withColumn("bucket", F.substring("key", 1, DIGITS))
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -95,8 +101,9 @@ def mix(docs: DataFrame) -> DataFrame:
     starts = b.join(t, F.col("b.source").eqNullSafe(F.col("t.source"))).select(
         F.col("b.source").alias("its_source"), F.col("b.bucket").alias("its_bucket"), "before", "source_size", "target"
     )
+    names = ["rest"] if told else []
     inside = F.expr(
-        "coalesce(sum(size) over (partition by source, bucket order by key, size"
+        f"coalesce(sum(size) over (partition by source, bucket order by {', '.join(['key', 'size', *names])}"
         " rows between unbounded preceding and 1 preceding), 0)"
     )
     placed = rows.withColumn("inside", inside).join(
@@ -112,24 +119,29 @@ def mix(docs: DataFrame) -> DataFrame:
     parts = placed.withColumn("first", part(0)).withColumn("again", part(1))
     return parts.select(
         "doc_id", "size", "source", "source_size", "target", (F.col("first") + F.col("again")).alias("taken"),
-        "first", "again", "key",
+        "first", "again", "key", *names,
     )
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
     """The rows the mix takes, once for each epoch that takes them, with their columns.
 
-    A row taken in part keeps its first words, joined by one space; ``n_chars`` follows the text
-    where the table has it.
+    A row taken in part keeps its first words, joined by one space, however long it is; ``n_chars``
+    follows the text where the table has it. Rows that agree in id, source and text but not in
+    other columns are taken each for itself. Null and blank texts have no words, so they aren't
+    taken; an empty table gives no rows.
     """
     key = fresh(docs, "key")
-    # Equal rows share a key: one of them is joined, with as many copies as the mix takes.
-    parts = mix(docs).select("key", F.explode(F.array("first", "again")).alias("words"), "size").filter("words > 0")
-    parts = parts.groupBy("key", "words", "size").agg(F.count("*").alias("copies"))
     rows = docs.withColumn(key, _key())
-    one = rows.dropDuplicates([key])
+    rest = fresh(rows, "rest")
+    rows = rows.withColumn(rest, _rest(docs))
+    # Rows equal in all columns share key and rest: one of them is joined, with as many copies as the mix takes.
+    parts = mix(docs, _rest(docs)).select("key", "rest", F.explode(F.array("first", "again")).alias("words"), "size")
+    parts = parts.filter("words > 0").groupBy("key", "rest", "words", "size").agg(F.count("*").alias("copies"))
+    one = rows.dropDuplicates([key, rest])
     name = fresh(one, "mixed")
-    joined = one.join(parts.select(F.col("key").alias(key), F.struct("words", "size", "copies").alias(name)), key)
+    taken = parts.select(F.col("key").alias(key), F.col("rest").alias(rest), F.struct("words", "size", "copies").alias(name))
+    joined = one.join(taken, [key, rest])
     cut = let(words(F.col("text")), lambda w: F.array_join(F.slice(w, 1, F.col(name)["words"]), " "))
     whole = F.col(name)["words"] >= F.col(name)["size"]
     out = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
