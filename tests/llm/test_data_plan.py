@@ -242,3 +242,18 @@ def test_rows_alike_but_for_other_columns_are_mixed_apart(spark):
     assert whole == {f"n{i}" for i in range(6)}
     assert {(r.doc_id, r.source) for r in got if r.note is None} == {("a:b", "c"), ("a", "b:c")}
     assert mixing.apply_mix(docs.limit(0)).collect() == []
+
+
+def test_shards_that_split_match_their_sql(spark):
+    """The SQL of the query with a limit at which the small table splits several times."""
+    from check import compare, connect
+    from tests.llm.conftest import SF
+    from valuegrain.llm.oracles import ORACLES
+
+    limit = 200_000
+    rows, _ = sharding.shard(spark.read.parquet(f"{SF}/documents.parquet"), limit)
+    assert rows.agg(F.min("depth")).first()[0] > 0 and rows.select("shard").distinct().count() > 3
+    got = rows.withColumnRenamed("bytes", "shard_bytes").drop("n_rows").toPandas()
+    sql = ORACLES["op1_extendible_shards"]
+    assert "33554432" in sql
+    assert compare(got, connect(SF).execute(sql.replace("33554432", str(limit))).df()) == "ok"
