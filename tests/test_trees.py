@@ -96,6 +96,7 @@ def test_trees_do_not_depend_on_partitions_or_chunks(spark, monkeypatch, growth)
     edges = [[float(k) for k in range(11)], [k / 4 for k in range(-8, 9)], [0.0]]
     once = fit(df.coalesce(1), settings, edges=edges)
     monkeypatch.setattr(trees, "CHUNK_ROWS", 16)
+    monkeypatch.setattr(trees, "TASK_ROWS", 0)
     monkeypatch.setattr(trees, "ROUNDS_KEPT", 2)
     again = fit(df.repartition(5), settings, edges=edges)
     assert once.boosted == again.boosted and len(once.boosted) == 5
@@ -119,3 +120,29 @@ def test_without_rows_or_gains_the_base_is_left(spark):
     flat = df.selectExpr("id", "features", "7D as label", "held_out")
     assert fit(flat, TreeSettings(rounds=3)).values(np.zeros((2, 3))).tolist() == [7.0, 7.0]
     assert fit(df.limit(0), TreeSettings(rounds=3)).trees == 0
+
+
+def test_a_task_adds_up_a_part_of_the_rows_of_each_level(spark):
+    x, y, _ = table(spark, 512)
+    settings = TreeSettings(**ONE, depth=5, child_rows=5)
+    batch = chunk_of(x, y)
+    held = trees._Held(settings, 1e6, [trees._Chunk(batch, 0, 1.0, [])])
+    read, histogram = [], held.histogram
+    held.histogram = lambda rows: read.append(len(rows)) or histogram(rows)
+    held.begin(0, [0, 1, 2])
+    tree = trees.grow_levels(held.look(trees.Tree(), [0])[0], held.look, settings, 1e6)
+    assert tree.leaves > 8 and sum(read) <= 512 + 4 * 256
+    held.known.clear()
+    for path in [p for p in held.paths(tree) if len(p) == 3]:
+        rows = held.at(path)
+        assert held.histogram(rows)[1].sum(axis=1).tolist() == [len(rows)] * 3
+
+
+def chunk_of(x, y):
+    import pyarrow as pa
+
+    n = len(y)
+    bins = np.stack([np.searchsorted(np.unique(c)[:-1][:63], c) for c in x.T]).astype("u1")
+    arrays = (np.arange(n), y, np.zeros(n, "u1"), np.full(n, y.mean()), bins)
+    columns = [pa.array([n]), *[pa.array([a.tobytes()], pa.binary()) for a in arrays]]
+    return pa.RecordBatch.from_arrays(columns, ["n", "key", "label", "held", "guess", "bins"])
