@@ -39,6 +39,23 @@ def test_all_good_labels_make_the_trusted_counts(spark, monkeypatch):
     assert len(above & set(range(200))) > 180 and len(above & set(range(200, 400))) < 20
 
 
+def test_quality_threshold_comes_from_all_labelled_documents(spark, monkeypatch):
+    # Ordered as a draw of the first by hash would be, with bad words that only later documents have.
+    order = [r.id for r in spark.range(400).orderBy(F.xxhash64("id"), "id").collect()]
+    text = lambda n, i: f"good words {'alpha beta gamma delta' if n % 2 else ('rare bad' if n < 40 else 'foul worse') * 9} end {i % 7}"
+    docs = spark.createDataFrame([(i, text(n, i)) for n, i in enumerate(order)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, n % 2) for n, i in enumerate(order)], "doc_id long, quality int")
+    seen = []
+    choose = quality.choose_threshold
+    monkeypatch.setattr(quality, "LABELLED", 20)
+    monkeypatch.setattr(quality, "choose_threshold", lambda steps: seen.extend(steps) or choose(steps))
+    model = quality.fit_quality(docs, labels)
+    assert (sum(s[1] for s in seen), sum(s[2] for s in seen)) == (200, 200)
+    good = {i for n, i in enumerate(order) if n % 2}
+    judged = quality.judge(docs, model).collect()
+    assert {r.doc_id for r in judged if r.score >= model.threshold} == good
+
+
 def test_quality_without_labels_or_rows(spark, docs, no_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality.fit_quality(docs, labels)
