@@ -174,11 +174,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
 
     folds = [[p for p in range(PARTS) if p != k] for k in range(PARTS)]
     found = every.agg(*[ratios(parts).alias(f"r{k}") for k, parts in enumerate([*folds, [*range(PARTS)]])]).first()
-    scored = None
-    for k in range(PARTS):
-        model = QualityModel(found[k], -math.inf)
-        one = known.filter(F.col("part") == k).select("good", _hashed(F.col("text"), model.score).alias("score"))
-        scored = one if scored is None else scored.unionByName(one)
+    models = [QualityModel(found[k], -math.inf) for k in range(PARTS)]
+
+    def unseen(h: Column) -> Column:
+        """The score by the counts that leave out the document's part; one of these is worked out."""
+        return F.coalesce(*[F.when(F.col("part") == k, m.score(h)) for k, m in enumerate(models)])
+
+    scored = known.select("good", _hashed(F.col("text"), unseen).alias("score"))
     steps = scored.groupBy(F.floor(F.col("score") / STEP).alias("step")).agg(
         F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")
     )
