@@ -63,6 +63,15 @@ def test_quality_without_labels_or_rows(spark, docs, no_docs):
     assert quality.judge(no_docs, quality.fit_quality(no_docs, labels)).count() == 0
 
 
+def test_quality_plans_do_not_spell_out_the_ratios(spark):
+    docs = spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} word{i} " * 9) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = quality.fit_quality(docs, labels)
+    for df in (quality.judge(docs, model), quality.keep_good(docs, model)):
+        assert len(df._jdf.queryExecution().toString()) < quality.BUCKETS
+    assert {r.doc_id % 2 for r in quality.judge(docs, model).filter("score > 0").collect()} == {1}
+
+
 TRICKY = [
     "mail a.b+c@x-y.example.com, a@b, @c.d, a@b.c@d.e f@g..h",
     "ip 1.2.3.4 256.1.1.1 01.002.3.255 1.2.3.4.5.6.7.8 999999999999999999999.1.1.1",
