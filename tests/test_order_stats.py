@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from valuegrain.operators.order_stats import order_statistics, quantiles
+from valuegrain.operators.order_stats import order_statistics, quantiles, value_quantiles
 from valuegrain.operators.profile import cut_ranks
 from valuegrain.operators.ranks import average_percent_rank, fitted_percent_rank
 from valuegrain.operators.rfm import quantile_score
@@ -60,9 +60,33 @@ def test_quantiles_equal_numpy_and_skip_nulls(spark, skewed):
     assert got["orders"][0.75] == np.quantile(pdf.orders, 0.75)
 
 
+def test_quantiles_by_digits_equal_quantiles(spark, skewed):
+    _, df = skewed
+    odd = [0.0, -0.0, -1.5, 1e-320, -1e300, float("inf"), float("-inf"), float("nan"), None, 7.0]
+    rows = [(f"r{i:03d}", odd[i % 10], -i, float(i % 3) - 1) for i in range(101)]
+    mixed = spark.createDataFrame(rows, "customer_id string, odd double, whole long, few double").repartition(4)
+    shares = (0.0, 0.1, 0.25, 0.5, 0.75, 0.8, 1.0)
+    for table, columns in ((df, ["orders", "spent"]), (mixed, ["odd", "whole", "few"])):
+        sizes = table.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
+        wanted = dict.fromkeys(columns, shares)
+        assert repr(value_quantiles(table, wanted, sizes)) == repr(quantiles(table, wanted)).replace("-0.0", "0.0")
+
+
+def test_quantiles_of_many_columns_build_a_small_plan(spark, monkeypatch):
+    built, col = [], F.col
+    df = spark.range(300).select(*[((F.col("id") * (k + 1)) % 211 - 50.5).alias(f"c{k}") for k in range(60)])
+    wanted = {c: (0.25, 0.5, 0.75) for c in df.columns}
+    monkeypatch.setattr(F, "col", lambda name: built.append(name) or col(name))
+    got = value_quantiles(df, wanted, dict.fromkeys(df.columns, 300))
+    assert len(built) <= 60
+    known = df.toPandas()
+    assert all(got[c][s] == pytest.approx(np.quantile(known[c], s)) for c in df.columns for s in wanted[c])
+
+
 def test_quantiles_of_an_empty_column_are_null(spark):
     df = spark.createDataFrame([("a", None)], "customer_id string, x double")
     assert quantiles(df, {"x": (0.5,)}) == {"x": {0.5: None}}
+    assert value_quantiles(df, {"x": (0.5,)}, {"x": 0}) == {"x": {0.5: None}}
 
 
 @pytest.mark.parametrize("rows", [5, 6, 9, 10, 101, 399])

@@ -138,6 +138,41 @@ def test_a_task_adds_up_a_part_of_the_rows_of_each_level(spark):
         assert held.histogram(rows)[1].sum(axis=1).tolist() == [len(rows)] * 3
 
 
+def flags(rows=400, width=30):
+    """Rare flags beside a number; one of them is nearly always set, one always."""
+    rng = np.random.default_rng(9)
+    x = (rng.random((rows, width)) < 0.04).astype(float)
+    x[:, 1], x[:, 2], x[:, 3] = 1 - x[:, 1], 1.0, rng.integers(0, 40, rows)
+    weights = np.where(np.arange(width) == 3, 0.3, 20 * rng.normal(size=width))
+    return x, (x @ weights + rng.normal(size=rows)).round(2)
+
+
+def test_rare_flags_are_counted_by_the_rows_that_have_them():
+    x, y = flags()
+    held = trees._Held(TreeSettings(subsample=1.0), 1e6, [trees._Chunk(chunk_of(x, y), 0, 1.0, [])])
+    held.begin(0, [0, 1, 2, 3, 7, 29])
+    for rows in (np.arange(400), np.arange(5, 390, 7), np.array([3]), np.arange(0)):
+        sums, counts = held.histogram(rows)
+        for i, column in enumerate(held.columns):
+            code = held.bins[column, rows].astype(int)
+            assert counts[i].tolist() == np.bincount(code, minlength=64).tolist()
+            assert sums[i].tolist() == np.bincount(code, held.parts[rows], 64).astype(int).tolist()
+    assert held.many.sum() < 400 * 30 * 0.06 and 3 not in held.rare
+
+
+@pytest.mark.parametrize("growth", [dict(depth=4), dict(leaves=9, depth=None)])
+def test_rare_flags_split_alike_in_a_task_and_in_passes(spark, monkeypatch, growth):
+    x, y = flags()
+    data = [(i, Vectors.dense(v), float(t), i % 5 == 0) for i, (v, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(data, ["id", "features", "label", "held_out"])
+    settings = TreeSettings(rounds=4, rate=0.3, **growth, patience=None)
+    edges = [[float(k) for k in range(39)] if i == 3 else [0.0] for i in range(30)]
+    once = fit(df, settings, edges=edges)
+    monkeypatch.setattr(trees, "TASK_ROWS", 0)
+    assert fit(df.repartition(3), settings, edges=edges).boosted == once.boosted
+    assert len({f for t in once.boosted for f in t.features}) > 5
+
+
 def chunk_of(x, y):
     import pyarrow as pa
 
