@@ -1,5 +1,7 @@
 """Histogram trees against plain versions."""
 
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -181,3 +183,72 @@ def chunk_of(x, y):
     arrays = (np.arange(n), y, np.zeros(n, "u1"), np.full(n, y.mean()), bins)
     columns = [pa.array([n]), *[pa.array([a.tobytes()], pa.binary()) for a in arrays]]
     return pa.RecordBatch.from_arrays(columns, ["n", "key", "label", "held", "guess", "bins"])
+
+
+def part_of(x, y, settings, pieces=1):
+    """A part of a table, of chunks of its rows."""
+    bounds = np.linspace(0, len(y), pieces + 1).astype(int)
+    whole = trees._Chunk(chunk_of(x, y), 0, settings.rate, [])
+    found = []
+    for low, high in zip(bounds, bounds[1:]):
+        chunk = trees._Chunk(chunk_of(x, y), 0, settings.rate, [])
+        for name in ("keys", "labels", "held", "guess"):
+            setattr(chunk, name, getattr(whole, name)[low:high])
+        chunk.bins = whole.bins[:, low:high]
+        found.append(chunk)
+    return trees._Part(settings, 1e6, found)
+
+
+def test_a_part_holds_rare_flags_by_their_rows_and_counts_nodes_together():
+    x, y = flags()
+    settings = TreeSettings(subsample=1.0)
+    held = trees._Held(settings, 1e6, [trees._Chunk(chunk_of(x, y), 0, 1.0, [])])
+    part = pickle.loads(pickle.dumps(part_of(x, y, settings, 3)))
+    assert len(part.bins) == 1 and len(held.bins) == 30
+    for feature in range(30):
+        assert part.column(feature).tolist() == held.bins[feature].tolist()
+    columns, ends = [0, 1, 2, 3, 29], held.last + 1
+    held.begin(0, columns), part.begin(0, columns)
+    groups = [np.arange(0, 400, 3), np.arange(0), np.arange(1, 400, 3)]
+    sums = part.histograms(groups, ends)
+    for i, rows in enumerate(groups):
+        want = [held.histogram(rows)[:, c, : ends[f]] for c, f in enumerate(columns)]
+        assert sums[:, i].tolist() == np.concatenate(want, axis=1).tolist()
+
+
+def test_predictions_of_a_part_are_the_same_with_and_without_what_a_worker_remembers(spark):
+    x, y, df = table(spark, 300)
+    settings = TreeSettings(rounds=4, rate=0.3, depth=3, patience=None)
+    grown = fit(df, settings, edges=[sorted(set(c))[:-1] for c in x.T]).boosted
+
+    def caught_up(fit, first, pending):
+        return trees._Round(fit, first, pending, 0, [], np.zeros(3, int)).caught_up(0, part_of(x, y, settings)).guess
+
+    want = caught_up("whole", 0, grown).tolist()
+    assert len(set(want)) > 8 and trees._GUESSES["whole", 0][0] == 4
+    assert caught_up("whole", 0, grown).tolist() == want
+    # A worker that has seen half of the trees, and one that remembers what is older than the part.
+    caught_up("half", 0, grown[:2])
+    assert caught_up("half", 0, grown).tolist() == want
+    trees._GUESSES["older", 0] = 2, np.full(300, 1e9)
+    assert caught_up("older", 3, grown[3:]).max() < 1e8
+
+
+@pytest.mark.parametrize("growth", [dict(depth=4), dict(leaves=9, depth=None)])
+def test_a_round_takes_one_job_for_each_level_and_counts_the_smaller_children(spark, monkeypatch, growth):
+    x, y = flags()
+    data = [(i, Vectors.dense(v), float(t), i % 5 == 0) for i, (v, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(data, ["id", "features", "label", "held_out"])
+    settings = TreeSettings(rounds=3, rate=0.3, **growth, patience=None)
+    edges = [[float(k) for k in range(39)] if i == 3 else [0.0] for i in range(30)]
+    asked, sums = [], trees._Round.sums
+    monkeypatch.setattr(trees._Round, "sums", lambda self, parts, counted, judged: asked.append(counted) or sums(self, parts, counted, judged))
+    monkeypatch.setattr(trees, "CHUNK_ROWS", 16)
+    monkeypatch.setattr(trees, "TASK_ROWS", 100)
+    monkeypatch.setattr(trees, "PARTS_AT_ONCE", 3)
+    model = fit(df, settings, edges=edges)
+    assert model.trees == 3 and len(asked) <= 3 * 9 + 1
+    for counted in asked:
+        assert len({trees.sibling(p) for p in counted} & set(counted)) == 0
+    monkeypatch.setattr(trees, "TASK_ROWS", 1000)
+    assert fit(df, settings, edges=edges).boosted == model.boosted
